@@ -2,5 +2,71 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelspark.functions import windows as wf
+from panelspark.operators import features
+from panelspark.plans import features_sql
+from panelspark.sources import bars as src
+from panelspark.sources.bars import KEY
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = dict(features_sql.oracles())
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _of(rows: DataFrame, columns: dict) -> DataFrame:
+    return rows.select(KEY, "date", *(c.alias(n) for n, c in columns.items()))
+
+
+@query
+def features_distance(spark, sf_dir):
+    return _of(wf.prepare(src.daily_bars(spark, sf_dir)), wf.distance())
+
+
+@query
+def features_volatility(spark, sf_dir):
+    return _of(wf.prepare(src.daily_bars(spark, sf_dir)), wf.volatility())
+
+
+@query
+def features_volume(spark, sf_dir):
+    return _of(wf.prepare(src.daily_bars(spark, sf_dir)), wf.volume())
+
+
+@query
+def features_tightness(spark, sf_dir):
+    return _of(wf.prepare(src.daily_bars(spark, sf_dir)), wf.tightness())
+
+
+@query
+def features_averages(spark, sf_dir):
+    return _of(wf.prepare(src.daily_bars(spark, sf_dir)), wf.averages())
+
+
+@query
+def features_relative_strength(spark, sf_dir):
+    return _of(features.with_benchmark(src.daily_bars(spark, sf_dir)), wf.relative_strength())
+
+
+@query
+def features_group_strength(spark, sf_dir):
+    return _of(features.with_sectors(src.daily_bars(spark, sf_dir), src.dimensions(spark, sf_dir)), wf.group_strength())
+
+
+@query
+def features_generic(spark, sf_dir):
+    return _of(wf.prepare_generic(wf.prepare(src.daily_bars(spark, sf_dir))), wf.generic())
+
+
+@query
+def benchmark_posture(spark, sf_dir):
+    line = src.benchmark(src.daily_bars(spark, sf_dir)).select(F.lit(0).alias(KEY), "date", F.col("bench_close").alias("close"))
+    line = line.withColumns({"i": F.row_number().over(src.series()) - 1, "pc": F.lag("close").over(src.series())})
+    line = line.withColumn("r", F.when((F.col("pc") > 0) & (F.col("close") > 0), F.log(F.col("close") / F.col("pc"))))
+    return line.select("date", *(c.alias(n) for n, c in wf.benchmark_posture().items()))
