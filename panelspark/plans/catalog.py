@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import windows as wf
-from panelspark.operators import features
-from panelspark.plans import features_sql
+from panelspark.operators import detect, features
+from panelspark.operators import moves as catalog_moves
+from panelspark.plans import detect_sql, features_sql
+from panelspark.plans.move_query import MoveQuery
 from panelspark.sources import bars as src
 from panelspark.sources.bars import KEY
 
@@ -70,3 +72,35 @@ def benchmark_posture(spark, sf_dir):
     line = line.withColumns({"i": F.row_number().over(src.series()) - 1, "pc": F.lag("close").over(src.series())})
     line = line.withColumn("r", F.when((F.col("pc") > 0) & (F.col("close") > 0), F.log(F.col("close") / F.col("pc"))))
     return line.select("date", *(c.alias(n) for n, c in wf.benchmark_posture().items()))
+
+
+@query
+def smoothed_series(spark, sf_dir):
+    return detect.recursions(src.daily_bars(spark, sf_dir))
+
+
+@query
+def moves_mfe_multiscale(spark, sf_dir):
+    return detect.detect_moves(src.daily_bars(spark, sf_dir)).select(KEY, "scale", "trail_atr", "direction", "trough_idx", "peak_idx", "resolved_idx", "start_date", "peak_date", "resolved_date", "is_open")
+
+
+@query
+def move_descriptors(spark, sf_dir):
+    moves = detect.detect_moves(src.daily_bars(spark, sf_dir))
+    rounded = [F.round(c, 6).alias(c) for c in ("magnitude", "log_magnitude", "mae", "max_intra_drawdown", "smoothness", "up_day_share")]
+    return moves.select(KEY, "scale", "start_date", "duration_days", "big_day_count", *rounded)
+
+
+@query
+def moves_atr_swing(spark, sf_dir):
+    return detect.detect_swings(src.daily_bars(spark, sf_dir)).select(KEY, "trough_idx", "peak_idx", "resolved_idx", "is_open", "trough_gain_pct")
+
+
+@query
+def move_query_top(spark, sf_dir):
+    bars = src.daily_bars(spark, sf_dir)
+    found = MoveQuery(catalog_moves.move_catalog(bars)).primary_scale_only().above_ma(200).magnitude_between(0.2).order_by("total_pct_gain").limit(50).run()
+    return found.select(KEY, "start_date", "peak_date", "scale", F.round("total_pct_gain", 6).alias("total_pct_gain"))
+
+
+ORACLES |= detect_sql.oracles()
