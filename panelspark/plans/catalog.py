@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import windows as wf
-from panelspark.operators import detect, features
+from panelspark.operators import clean, detect, features, panels
 from panelspark.operators import moves as catalog_moves
-from panelspark.plans import detect_sql, features_sql
+from panelspark.plans import clean_sql, detect_sql, features_sql
 from panelspark.plans.move_query import MoveQuery
 from panelspark.sources import bars as src
 from panelspark.sources.bars import KEY
@@ -104,3 +104,145 @@ def move_query_top(spark, sf_dir):
 
 
 ORACLES |= detect_sql.oracles()
+
+
+# Cleaning and universe
+
+LOCKBOX, FLOOR, INDEX_START = "2001-01-01", 40.0, "1996-06-01"
+
+
+def _members(spark, sf_dir):
+    bars = src.daily_bars(spark, sf_dir)
+    days = src.member_days(spark, sf_dir, bars)
+    return bars, days, clean.membership_intervals(days)
+
+
+def _spans(days):
+    """Excluded spans for the queries: membership runs of at least four bars of every third entity."""
+    last = days.groupBy(KEY).agg(F.max("date").alias("last_date"))
+    runs = clean.islands(days.where(F.col(KEY) % 3 == 0), F.col("member")).where("n_bars >= 4").join(last, KEY)
+    return runs.select(KEY, "from_date", F.when(F.col("to_date") < F.col("last_date"), F.col("to_date")).alias("to_date"))
+
+
+@query
+def bars_daily(spark, sf_dir):
+    return src.daily_bars(spark, sf_dir)
+
+
+@query
+def bars_weekly(spark, sf_dir):
+    return panels.weekly(src.daily_bars(spark, sf_dir))
+
+
+@query
+def bench_close(spark, sf_dir):
+    return src.benchmark(src.daily_bars(spark, sf_dir))
+
+
+@query
+def theme_composite(spark, sf_dir):
+    weights = src.dimensions(spark, sf_dir).select(KEY, "sector", (1 + F.col(KEY) % 3).alias("weight"))
+    return panels.theme_composite(src.daily_bars(spark, sf_dir), weights).select("sector", "date", F.round("composite", 6).alias("composite"))
+
+
+@query
+def tradeable_mask(spark, sf_dir):
+    bars, days, _ = _members(spark, sf_dir)
+    return clean.tradeable_mask(bars, _spans(days)).select(KEY, "date", "tradeable")
+
+
+@query
+def forward_fill(spark, sf_dir):
+    bars, days, _ = _members(spark, sf_dir)
+    filled = clean.forward_fill(clean.tradeable_mask(bars, _spans(days)), "tradeable", ["close", "high", "low"])
+    return filled.select(KEY, "date", "tradeable", "close", "high", "low")
+
+
+@query
+def clean_bars(spark, sf_dir):
+    bars, days, _ = _members(spark, sf_dir)
+    return clean.clean_bars(src.adjusted_bars(bars), _spans(days), FLOOR, LOCKBOX).select(KEY, "date", "open", "high", "low", "close", "volume")
+
+
+@query
+def contiguous_spans(spark, sf_dir):
+    return clean.islands(src.daily_bars(spark, sf_dir), F.col("close") < F.col("open"))
+
+
+@query
+def membership_intervals(spark, sf_dir):
+    return _members(spark, sf_dir)[2]
+
+
+@query
+def closed_intervals(spark, sf_dir):
+    bars, _, intervals = _members(spark, sf_dir)
+    return clean.close_open_intervals(intervals, src.dimensions(spark, sf_dir), bars.groupBy(KEY).agg(F.max("date").alias("last_quoted")))
+
+
+@query
+def interval_membership(spark, sf_dir):
+    bars, _, intervals = _members(spark, sf_dir)
+    return clean.in_spans(bars, intervals, "is_member").select(KEY, "date", "is_member")
+
+
+@query
+def return_disagreement(spark, sf_dir):
+    bars = src.daily_bars(spark, sf_dir)
+    other = bars.where(F.dayofmonth("date") != 15).withColumn("close", F.col("close") * (1 + F.when(F.col("volume") > 40, 0.03).otherwise(0)))
+    return clean.return_disagreement(bars, other)
+
+
+@query
+def data_quality_scan(spark, sf_dir):
+    bars = src.adjusted_bars(src.daily_bars(spark, sf_dir))
+    actions = bars.where((F.col(KEY) % 4 == 0) & (F.col("date") >= clean.day("1998-01-01"))).groupBy(KEY).agg(F.min("date").alias("date"))
+    return clean.data_quality_scan(bars, actions)
+
+
+@query
+def eligibility(spark, sf_dir):
+    _, days, _ = _members(spark, sf_dir)
+    return clean.eligibility(days, _spans(days), LOCKBOX, INDEX_START, FLOOR)
+
+
+@query
+def lockbox_drop(spark, sf_dir):
+    return clean.assert_not_in_lockbox(clean.drop_lockbox(src.daily_bars(spark, sf_dir), LOCKBOX), LOCKBOX).select(KEY, "date", "close")
+
+
+@query
+def adjustment_offenders(spark, sf_dir):
+    bars = src.adjusted_bars(src.daily_bars(spark, sf_dir))
+    stale = (F.col(KEY) % 5 == 0) & (F.col("date") >= clean.day("2001-06-01"))
+    return clean.adjustment_offenders(bars.withColumn("adj_factor", F.when(~stale, F.col("adj_factor"))))
+
+
+@query
+def crosswalk(spark, sf_dir):
+    entities = src.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(KEY), F.concat(F.lit("S."), "s_suppkey").alias("symbol"))
+    tickers = src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker_id"), F.concat(F.lit("S-"), "c_custkey").alias("symbol"), (F.col("c_acctbal") > 0).alias("active"))
+    return clean.crosswalk(entities, tickers)
+
+
+@query
+def restatement(spark, sf_dir):
+    return clean.restatement_incidence(src.daily_bars(spark, sf_dir), "close", "open")
+
+
+@query
+def knee_floor(spark, sf_dir):
+    return clean.knee_floor(src.daily_bars(spark, sf_dir).groupBy(KEY).agg(F.avg("volume").alias("adv")), "adv")
+
+
+@query
+def true_range(spark, sf_dir):
+    return src.daily_bars(spark, sf_dir).select(KEY, "date", wf.true_range().alias("tr"))
+
+
+@query
+def catalog_series_hash(spark, sf_dir):
+    return catalog_moves.series_hash(src.daily_bars(spark, sf_dir))
+
+
+ORACLES |= clean_sql.oracles()
