@@ -69,20 +69,21 @@ def _walk(homes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray
     return label
 
 
-def bucket_links(starts: np.ndarray, homes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+def bucket_links(starts: np.ndarray, homes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: int = PAIRS) -> np.ndarray:
     """For rows sorted by key, the first row that each row is linked to within its key (itself, if none).
 
-    starts has each key's first row and, last, the number of rows; near(i, j) says which pairs of rows are linked.
+    starts has each key's first row and, last, the number of rows; near(i, j) says which pairs of rows are linked. A key of
+    more than `pairs` pairs is walked.
     """
     n = int(starts[-1])
     label = np.arange(n)
     first, sizes = starts[:-1], np.diff(starts)
     n_homes = np.add.reduceat(homes.astype(np.int64), first) if n else np.zeros(0, np.int64)
     work = n_homes * sizes
-    for k in np.flatnonzero(work > PAIRS):
+    for k in np.flatnonzero(work > pairs):
         lo, hi = first[k], first[k] + sizes[k]
         label[lo:hi] = lo + _walk(homes[lo:hi], lambda i, j, lo=lo: near(i + lo, j + lo))
-    small = np.flatnonzero((work <= PAIRS) & (n_homes > 0) & (sizes > 1))
+    small = np.flatnonzero((work <= pairs) & (n_homes > 0) & (sizes > 1))
     cuts = np.searchsorted(np.cumsum(work[small]), np.arange(PAIRS, int(work[small].sum()) + PAIRS, PAIRS))
     found_a, found_b = [], []
     for keys in np.split(small, np.unique(cuts)):

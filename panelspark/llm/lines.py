@@ -13,6 +13,7 @@ after all others; every column of the input is kept; an empty table gives an emp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,29 +52,51 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all character shingles of the lines, and the line of each."""
-    joined = "\n".join(lines) + "\n" * SHINGLE
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    n = len(points) - SHINGLE + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[k : k + n]
-    lengths = np.asarray([len(x) for x in lines], dtype=np.int64)
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    counts = np.maximum(lengths - SHINGLE + 1, 0)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - starts, counts)
-    return _mix(h[at]), owner
+_FACTOR, _MOST = 0x9E3779B97F4A7C15, 1 << 16
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    both = []
+    for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+        power = np.full(_MOST, base, dtype=np.uint64)
+        power[0] = 1
+        both.append(np.cumprod(power, dtype=np.uint64))
+    return both[0], both[1]
+
+
+def _windows(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every SHINGLE code points in a row: differences of one running sum, scaled back."""
+    up, down = _powers()
+    out = []
+    for at in range(0, len(points) - SHINGLE + 1, _MOST - SHINGLE):
+        part = points[at : at + _MOST]
+        running = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * down[: len(part)], out=running[1:])
+        out.append(((running[SHINGLE:] - running[:-SHINGLE]) * up[: len(part) - SHINGLE + 1])[: _MOST - SHINGLE])
+    return _mix(np.concatenate(out))
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line, valid) for every window over the joined lines; windows that leave their line are not valid."""
+    joined = "\n".join(lines) + "\n" * (SHINGLE + 1)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lengths = np.asarray([len(x) + 1 for x in lines], dtype=np.int64)
+    owner = np.repeat(np.arange(len(lines) + 1), np.append(lengths, SHINGLE + 1))[: len(points)]
+    h = _windows(points)
+    n = len(points) - SHINGLE
+    return h[:n], owner[:n], owner[:n] == owner[SHINGLE : SHINGLE + n]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash: the least hash in each of BINS bins; an empty bin borrows from bins in a fixed order."""
-    h, owner = shingle_hashes(lines)
+    h, owner, valid = shingle_hashes(lines)
     bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    out = np.full(len(lines) * BINS, _EMPTY, dtype=np.uint32)
-    np.minimum.at(out, owner * BINS + bins.astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
-    out = out.reshape(-1, BINS)
+    values = np.where(valid, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32), _EMPTY)
+    out = np.full((len(lines) + 1) * BINS, _EMPTY, dtype=np.uint32)
+    np.minimum.at(out, owner * BINS + bins.astype(np.int64), values)
+    out = out.reshape(-1, BINS)[: len(lines)]
     full = out.copy()
     row, column = np.nonzero(out == _EMPTY)
     for step in range(1, 64 * BINS):
@@ -130,44 +153,58 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["digest", "line"])
 
 
-def alike(hashes: np.ndarray, bounds: np.ndarray, similarity: float):
-    """near(i, j) for rows whose sorted distinct shingle hashes are hashes[bounds[r]:bounds[r + 1]]."""
+#: Shingle hashes of a batch are kept as (row, 48 bits of the hash) in one sorted array.
+_HASH_BITS = np.uint64(48)
+
+
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (row, hash) keys of the lines' shingles, and where each row's begin."""
+    h, owner, valid = shingle_hashes(lines)
+    keys = np.unique((owner[valid].astype(np.uint64) << _HASH_BITS) | (h[valid] >> (np.uint64(64) - _HASH_BITS)))
+    return keys, np.searchsorted(keys, np.arange(len(lines) + 1, dtype=np.uint64) << _HASH_BITS)
+
+
+def alike(keys: np.ndarray, bounds: np.ndarray, similarity: float, bands: np.ndarray | None = None, band: np.ndarray | None = None):
+    """near(i, j): the exact Jaccard similarity of rows' shingle sets reaches similarity.
+
+    bands has each row's band hashes and band the one whose bucket the row stands in: a pair that shares an earlier band is
+    compared in that bucket, and left alone here.
+    """
     sizes = np.diff(bounds)
+    low = (np.uint64(1) << _HASH_BITS) - np.uint64(1)
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), dtype=bool)
-        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        may = np.flatnonzero(small >= similarity * large)
-        if not len(may):
-            return out
-        cuts = np.flatnonzero(np.diff(i[may])) + 1
-        for group in np.split(may, cuts):
-            own = hashes[bounds[i[group[0]]] : bounds[i[group[0]] + 1]]
-            for at in range(0, len(group), 2_000):
-                some = group[at : at + 2_000]
-                others, width = j[some], sizes[j[some]]
-                ends = np.cumsum(width)
-                flat = hashes[np.arange(int(ends[-1])) - np.repeat(ends - width - bounds[others], width)]
-                place = np.searchsorted(own, flat)
-                place[place == len(own)] = 0
-                common = np.add.reduceat((own[place] == flat).astype(np.int64), ends - width)
-                out[some] = common >= similarity * (len(own) + width - common)
+        for at in range(0, len(i), 65_536):
+            a, b = i[at : at + 65_536], j[at : at + 65_536]
+            may = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+            if bands is not None:
+                may &= (bands[a] == bands[b]).argmax(axis=1) == band[a]
+            some = np.flatnonzero(may)
+            for part in np.array_split(some, 1 + int(sizes[b[some]].sum()) // 2_000_000):
+                if len(part):
+                    out[at + part] = _compare(a[part], b[part])
         return out
 
+    def _compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        width = sizes[b]
+        ends = np.cumsum(width)
+        flat = keys[np.arange(int(ends[-1])) - np.repeat(ends - width - bounds[b], width)]
+        asked = (np.repeat(a, width).astype(np.uint64) << _HASH_BITS) | (flat & low)
+        place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        common = np.add.reduceat((keys[place] == asked).astype(np.int64), ends - width)
+        return common >= similarity * (sizes[a] + width - common)
+
     return near
 
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in by_key(batches, 4_000):
-            h, owner = shingle_hashes(table.column("line").to_pylist())
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            h, owner = h[new], owner[new]
-            bounds = np.searchsorted(owner, np.arange(table.num_rows + 1))
-            label = bucket_links(starts, table.column("home").to_numpy(), alike(h, bounds, similarity))
+            keys, bounds = shingle_sets(table.column("line").to_pylist())
+            bands = np.stack([table.column(f"b{k}").to_numpy() for k in range(BANDS)], axis=1)
+            near = alike(keys, bounds, similarity, bands, table.column("bucket").to_numpy() >> 32)
+            label = bucket_links(starts, table.column("home").to_numpy(), near, pairs=64)
             moved = np.flatnonzero(label != np.arange(len(label)))
             digests = table.column("digest").combine_chunks()
             yield pa.RecordBatch.from_arrays([digests.take(pa.array(moved)), digests.take(pa.array(label[moved]))], ["a", "b"])
@@ -177,8 +214,9 @@ def _verify(similarity: float):
 
 def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between digests of lines that connect all alike lines which share a bucket."""
-    distinct = lines.groupBy("digest").agg(*(F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
-    bucket = F.array(*(F.lit(k << 32).cast("long").bitwiseOR(F.col(f"b{k}").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for k in range(BANDS)))
+    names = [f"b{k}" for k in range(BANDS)]
+    distinct = lines.groupBy("digest").agg(*(F.min(b).alias(b) for b in names))
+    bucket = F.array(*(F.lit(k << 32).cast("long").bitwiseOR(F.col(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for k, b in enumerate(names)))
     rows = distinct.select(F.xxhash64("digest").alias("node"), F.explode(bucket).alias("bucket"), F.lit(True).alias("home"))
     dealt = split_hot(rows).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     crowded = dealt.select("bucket", "part", "node", "home").mapInArrow(_crowded, "bucket long, part int, node long, home boolean")
@@ -188,7 +226,10 @@ def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     texts = docs.select("text").where("text IS NOT NULL").mapInArrow(_texts, "digest binary, line string")
     texts = texts.withColumn("t_node", F.xxhash64("digest")).join(broadcast_below(wanted, BROADCAST_ROWS), F.col("t_node") == F.col("w_node"), "left_semi")
     texts = texts.groupBy("t_node", "digest").agg(F.first("line").alias("line"))
-    members = crowded.join(texts, F.col("node") == F.col("t_node")).select("bucket", "part", "home", "digest", "line")
+    marks = lines.join(broadcast_below(wanted, BROADCAST_ROWS), F.xxhash64("digest") == F.col("w_node"), "left_semi")
+    marks = marks.groupBy(F.col("digest").alias("m_digest")).agg(*(F.min(b).alias(b) for b in names))
+    members = crowded.join(texts, F.col("node") == F.col("t_node")).join(marks, F.col("digest") == F.col("m_digest"))
+    members = members.select("bucket", "part", "home", "digest", "line", *names)
     members = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     links = materialise(members.mapInArrow(_verify(similarity), "a binary, b binary"), "line-links")
     discard(crowded, wanted)
