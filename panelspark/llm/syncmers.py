@@ -7,22 +7,26 @@ positional matching; the fingerprint keeps the smallest SKETCH anchor hashes, an
 fingerprints the share of anchors that the texts have in common (exactly, where neither is full).
 
 Defined results: a null text is the empty text; a text without words has the empty fingerprint, alike (1.0) only to itself;
-a text of fewer than k words has its whole word sequence as its one anchor; other columns are ignored. In neighbours(),
-documents follow each other by descending doc_id, null last, the last followed by the first; rows that repeat a doc_id are
-one step in that order, each kept as a row, and stand before a neighbour with the least of their texts; a single document
-follows itself; an empty table gives an empty result.
+a text of fewer than k words has its whole word sequence as its one anchor; other columns are ignored. In
+fingerprint_edits(), rows follow each other by descending doc_id, null last, rows of one doc_id in an order of their
+texts, and the last row by the first; a single row follows itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import materialise, text_or_empty
+from panelspark.llm.common import text_or_empty
 
 K, S = 5, 2
 SKETCH = 64
+#: Documents of a block of the order, and blocks at most (of more documents each, then).
+BLOCK_ROWS, MOST_BLOCKS = 4_000, 65_536
 #: A longer unspaced run is cut: each character of a script written without spaces is a word, others go by so many.
 LONGEST_WORD = 32
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -100,52 +104,65 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, SKETCH), of)
 
 
-def next_in_order(ids: DataFrame) -> DataFrame:
-    """id and next_id for each distinct id, descending, null last, the last followed by the first.
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often later expressions name them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
-    Ids alone are dealt by range; within a range the next id is the next row, and only one row a range is looked up among
-    the ranges' first rows, of which there are as many as shuffle partitions.
-    """
-    ranged = ids.repartitionByRange(F.col("id").desc_nulls_last()).withColumn("range", F.spark_partition_id())
-    ranged = materialise(ranged, "ranges")
-    order = Window.partitionBy("range").orderBy(F.col("id").desc_nulls_last())
-    at = ranged.select("id", "range", F.row_number().over(order).alias("place"), F.lead(F.struct("id")).over(order).alias("following"))
-    at = materialise(at, "order")
-    firsts = at.where("place = 1").select("range", F.struct("id").alias("first"))
-    by_range = Window.orderBy("range")
-    after = firsts.select(F.col("range").alias("a_range"), F.coalesce(F.lead("first").over(by_range), F.first("first").over(by_range)).alias("after"))
-    found = at.join(F.broadcast(after), F.col("range") == F.col("a_range"))
-    return found.select("id", F.coalesce("following", "after")["id"].alias("next_id"))
-
-
-def neighbours(docs: DataFrame) -> DataFrame:
-    """Every row's doc_id, text, next_id and edited: its last third replaced by the head of the next document.
-
-    Only heads of texts (a third of the characters) travel to the document they are put into.
+
+def block_starts(docs: DataFrame, rows: int = BLOCK_ROWS, most: int = MOST_BLOCKS) -> list[int]:
+    """Ids that begin the blocks of about so many rows, descending; the first is the largest id of all.
+
+    They are picked from a sample of about 20 ids a block by hash, at most 20 * MOST_BLOCKS numbers whatever the corpus.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = docs.select("doc_id", "text", F.floor(F.length("text") / 3).cast("int").alias("cut"))
-    cuts = materialise(rows.groupBy("doc_id").agg(F.max("cut").alias("most")), "cuts")
-    order = next_in_order(cuts.select(F.col("doc_id").alias("id")))
-    wanted = cuts.join(order, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("doc_id").alias("to_id"), F.col("next_id").alias("from_id"), "most")
-    wanted = materialise(wanted, "wanted")
-    heads = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("from_id"))).select("to_id", "from_id", F.expr("left(text, most)").alias("head"))
-    heads = heads.groupBy("to_id").agg(F.min("head").alias("head"), F.first("from_id").alias("next_id"))
-    joined = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("to_id")))
-    edited = F.concat(F.expr("left(text, length(text) - cut)"), F.expr("left(head, cut)"))
-    return joined.select("doc_id", "text", "next_id", edited.alias("edited"))
+    known = docs.where("doc_id IS NOT NULL")
+    size = known.agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).first()
+    if not size["n"]:
+        return []
+    blocks = min(most, -(-size["n"] // rows))
+    share = min(1.0, 20 * blocks / size["n"])
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id").distinct()
+    ids = sorted((r["doc_id"] for r in drawn.collect()), reverse=True)
+    return sorted({size["top"], *ids[:: max(1, len(ids) // blocks)]}, reverse=True)
+
+
+def in_blocks(docs: DataFrame, starts: list[int]) -> DataFrame:
+    """Adds block and guest: a block's first document is also the last, a guest, of the block before it (of the last block, for the first)."""
+    if not starts:
+        return docs.select("*", F.lit(0).alias("block"), F.lit(False).alias("guest"))
+    step = math.isqrt(len(starts) - 1) + 1
+    table = F.from_json(F.lit(json.dumps([starts[k : k + step] for k in range(0, len(starts), step)])), "array<array<bigint>>")
+    coarse = F.transform(table, lambda part: part[0])
+    upper = F.size(F.filter(coarse, lambda s: s >= F.col("doc_id")))
+    docs = once(docs, upper=upper)
+    part = F.get(table, F.col("upper") - 1)
+    docs = once(docs, lower=F.size(F.filter(part, lambda s: s >= F.col("doc_id"))), part=part)
+    last = len(starts) - 1
+    block = F.when(F.col("doc_id").isNull(), last).otherwise((F.col("upper") - 1) * step + F.col("lower") - 1).cast("int")
+    first = F.get(F.col("part"), F.col("lower") - 1) == F.col("doc_id")
+    place = lambda b, g: F.struct(b.cast("int").alias("block"), F.lit(g).alias("guest"))
+    before = F.when(block == 0, last).otherwise(block - 1)
+    places = F.when(F.coalesce(first, F.lit(False)), F.array(place(block, False), place(before, True))).otherwise(F.array(place(block, False)))
+    return docs.select(*[c for c in docs.columns if c not in ("upper", "lower", "part")], F.inline(places))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
-    rows = neighbours(docs).select(
-        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"),
-    )
-    rows = materialise(rows, "sketches")
-    following = rows.groupBy(F.col("doc_id").alias("f_id")).agg(F.min("own").alias("next_own"))
-    rows = rows.join(following, F.col("next_id").eqNullSafe(F.col("f_id")))
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
+
+    Texts are shuffled once, into blocks of the order; all else happens in their rows.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_blocks(docs, block_starts(docs)).repartition("block")
+    rows = once(rows, own=sketch(F.col("text")), tie=F.xxhash64("text"))
+    order = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole))
+    rows = rows.withColumns({"next_text": following("text"), "next_own": following("own")}).where("NOT guest")
+    cut = F.floor(F.length("text") / 3).cast("int")
+    rows = once(rows, cut=cut)
+    rows = once(rows, edited=F.expr("concat(left(text, length(text) - cut), left(next_text, cut))"))
+    rows = once(rows, other=sketch(F.col("edited")))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
