@@ -148,10 +148,11 @@ def eligibility(days: DataFrame, spans: DataFrame, lockbox_start: str = LOCKBOX_
     """Per bar: data_valid, price_ok, history_ok, member and eligible; average volumes over partial windows of 50 bars."""
     rows = in_spans(days, spans, "excluded").withColumn("i", F.row_number().over(series()) - 1)
     w = trailing(49)
+    turnover = F.col("volume").cast("decimal(12,0)") * F.col("close").cast("decimal(16,4)")  # exact, whatever the order
     valid = finite("close", "volume") & (F.col("close") > 0) & (F.col("volume") > 0)
-    rows = rows.withColumns({"data_valid": valid, "price_ok": F.col("close") >= min_price, "history_ok": F.col("i") >= min_bars - 1, "adv_50": F.avg("volume").over(w), "dollar_adv_50": F.avg(F.col("volume") * F.col("close")).over(w)})
+    rows = rows.withColumns({"data_valid": valid, "price_ok": F.col("close") >= min_price, "history_ok": F.col("i") >= min_bars - 1, "adv_50": F.avg("volume").over(w), "dollar_adv_50": F.sum(turnover).over(w).cast("double") / F.count(turnover).over(w)})
     eligible = ~in_lockbox("date", lockbox_start) & ~F.col("excluded") & (F.col("member") | (F.col("date") < day(index_start))) & F.col("data_valid") & F.col("price_ok") & F.col("history_ok")
-    return rows.select(KEY, "date", "member", "excluded", "data_valid", "price_ok", "history_ok", F.round("adv_50", 6).alias("adv_50"), F.round("dollar_adv_50", 8).alias("dollar_adv_50"), eligible.alias("eligible"))
+    return rows.select(KEY, "date", "member", "excluded", "data_valid", "price_ok", "history_ok", F.round("adv_50", 6).alias("adv_50"), "dollar_adv_50", eligible.alias("eligible"))
 
 
 def adjustment_offenders(bars: DataFrame, max_lag_days: int = 30) -> DataFrame:

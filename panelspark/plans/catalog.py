@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import windows as wf
-from panelspark.operators import clean, detect, features, panels
+from panelspark.functions.anchor_kernels import Rules
+from panelspark.operators import clean, detect, features, labels, panels
 from panelspark.operators import moves as catalog_moves
-from panelspark.plans import clean_sql, detect_sql, features_sql
+from panelspark.plans import clean_sql, detect_sql, features_sql, labels_sql
 from panelspark.plans.move_query import MoveQuery
 from panelspark.sources import bars as src
 from panelspark.sources.bars import KEY
@@ -246,3 +247,175 @@ def catalog_series_hash(spark, sf_dir):
 
 
 ORACLES |= clean_sql.oracles()
+
+
+# Labels, entries and events
+
+
+def _primary(spark, sf_dir, scale="trail_6"):
+    bars = src.daily_bars(spark, sf_dir)
+    return bars, detect.detect_moves(bars).where(F.col("scale") == scale)
+
+
+@query
+def setup_labels(spark, sf_dir):
+    bars, moves = _primary(spark, sf_dir)
+    return labels.setup_labels(bars, moves.select(KEY, "trough_idx"))
+
+
+@query
+def liquidity_quintile(spark, sf_dir):
+    return labels.liquidity_quintile(src.daily_bars(spark, sf_dir), "volume").select(KEY, "date", "size_bucket")
+
+
+@query
+def matched_controls(spark, sf_dir):
+    bars, moves = _primary(spark, sf_dir)
+    pool = labels.liquidity_quintile(bars, "volume").join(src.dimensions(spark, sf_dir).select(KEY, "is_delisted"), KEY).withColumn("control_id", F.xxhash64(KEY, "date"))
+    cases = pool.join(moves.select(KEY, F.col("start_date").alias("date")), [KEY, "date"]).withColumn("case_id", F.col("control_id"))
+    return labels.matched_controls(cases.select("case_id", KEY, "date", "size_bucket", "is_delisted"), pool.select("control_id", KEY, "date", "size_bucket", "is_delisted"), ["date", "size_bucket"], n=1)
+
+
+@query
+def control_diagnostics(spark, sf_dir):
+    bars, moves = _primary(spark, sf_dir)
+    pool = labels.liquidity_quintile(bars, "volume")
+    cases = pool.join(moves.select(KEY, F.col("start_date").alias("date")), [KEY, "date"])
+    return labels.control_diagnostics(cases, pool, ["date", "size_bucket"])
+
+
+@query
+def entry_stop_outcome(spark, sf_dir):
+    return labels.stop_outcomes(src.daily_bars(spark, sf_dir))
+
+
+@query
+def forward_extremes(spark, sf_dir):
+    return _of(src.daily_bars(spark, sf_dir), wf.forward_extremes(60))
+
+
+@query
+def breakout_entries(spark, sf_dir):
+    return labels.breakout_entries(*_primary(spark, sf_dir)).select(KEY, "trough_idx", "date", "bar_idx")
+
+
+@query
+def trough_vs_breakout(spark, sf_dir):
+    found = labels.trough_vs_breakout(*_primary(spark, sf_dir))
+    return found.select("entry", "n", *(F.round(c, 6).alias(c) for c in ("win_rate", "expectancy", "avg_win", "avg_loss")))
+
+
+@query
+def population_overlap(spark, sf_dir):
+    moves = detect.detect_moves(src.daily_bars(spark, sf_dir))
+    starts = lambda s: moves.where(F.col("scale") == s).select(KEY, "start_date")
+    return labels.population_overlap(starts("trail_2"), starts("trail_6"))
+
+
+@query
+def near_events(spark, sf_dir):
+    moves = detect.detect_moves(src.daily_bars(spark, sf_dir)).withColumn("event_date", F.col("start_date"))
+    return labels.near_events(moves.where("scale = 'trail_15'"), moves.where("scale = 'trail_2'"), 5).select(KEY, "event_date")
+
+
+@query
+def anchor_events(spark, sf_dir):
+    return labels.anchor_events(src.daily_bars(spark, sf_dir))
+
+
+@query
+def anchor_events_v2(spark, sf_dir):
+    return labels.anchor_events(src.daily_bars(spark, sf_dir), Rules(f_version=2), "F")
+
+
+@query
+def anchor_events_v3(spark, sf_dir):
+    return labels.anchor_events(src.daily_bars(spark, sf_dir), Rules(f_version=3), "F")
+
+
+@query
+def anchor_family_a(spark, sf_dir):
+    found = labels.anchor_events(src.daily_bars(spark, sf_dir), families="A")
+    return found.select(KEY, "bar_idx", "event_date", "outcome", "bars_to_resolution", F.round("stop_price", 6).alias("stop_price"), F.round("fwd_mfe", 6).alias("fwd_mfe"), F.round("fwd_mae", 6).alias("fwd_mae"))
+
+
+@query
+def anchor_family_d(spark, sf_dir):
+    return labels.anchor_events(src.daily_bars(spark, sf_dir), families="D").select(KEY, "bar_idx", "event_date", "native_stop")
+
+
+@query
+def anchor_family_e(spark, sf_dir):
+    return labels.anchor_events(src.daily_bars(spark, sf_dir), families="E").select(KEY, "bar_idx", "event_date", "native_stop")
+
+
+@query
+def anchor_variants(spark, sf_dir):
+    return labels.anchor_variants(src.daily_bars(spark, sf_dir), (("a_depth", 0.25), ("a_vol", 2.0), ("d_above", "high"), ("e_gap", 1.0))).groupBy("variant", "family").agg(F.count("*").alias("n"))
+
+
+@query
+def walkforward_folds(spark, sf_dir):
+    points = src.points(src.daily_bars(spark, sf_dir)).select("point_id", F.col("bar_idx").alias("t"))
+    return labels.walkforward_folds(points, [(300, 375), (375, 450), (450, 525)], 20, 10)
+
+
+@query
+def disjoint_folds(spark, sf_dir):
+    return labels.disjoint_folds(src.points(src.daily_bars(spark, sf_dir)).select("point_id", KEY), 5).select("point_id", "fold")
+
+
+# The catalog of moves
+
+
+def _catalog(spark, sf_dir):
+    return catalog_moves.move_catalog(src.daily_bars(spark, sf_dir))
+
+
+@query
+def move_inception(spark, sf_dir):
+    frame = catalog_moves.inception_frame(src.daily_bars(spark, sf_dir))
+    return frame.select(KEY, "trough_idx", *(F.round(c, 6).alias(c) for c in frame.columns if c.startswith("incept_")))
+
+
+@query
+def expanding_percentile(spark, sf_dir):
+    moves = detect.detect_moves(src.daily_bars(spark, sf_dir)).withColumn("total_pct_gain", F.col("magnitude"))
+    return catalog_moves.expanding_percentile(moves.select(KEY, "scale", "direction", "start_date", "resolved_date", "total_pct_gain")).select(KEY, "scale", "start_date", "pctile")
+
+
+@query
+def frozen_percentile(spark, sf_dir):
+    moves = detect.detect_moves(src.daily_bars(spark, sf_dir)).withColumn("total_pct_gain", F.col("magnitude"))
+    return catalog_moves.frozen_percentile(moves, "1998-01-01").select(KEY, "scale", "start_date", "pctile")
+
+
+@query
+def move_audits(spark, sf_dir):
+    return catalog_moves.run_audits(_catalog(spark, sf_dir))
+
+
+@query
+def descriptor_coverage(spark, sf_dir):
+    return catalog_moves.null_coverage(_catalog(spark, sf_dir), "descriptors")
+
+
+@query
+def catalog_fingerprint(spark, sf_dir):
+    moves = detect.detect_moves(src.daily_bars(spark, sf_dir)).withColumn("detection_system", F.lit("mfe"))
+    return catalog_moves.fingerprint(moves)
+
+
+@query
+def scale_profile(spark, sf_dir):
+    moves = detect.detect_moves(src.daily_bars(spark, sf_dir))
+    return catalog_moves.cluster_profile(moves, "scale", ["duration_days"])
+
+
+@query
+def move_query_oversold(spark, sf_dir):
+    q = MoveQuery(_catalog(spark, sf_dir)).scale("trail_2").inception("incept_rsi_14", "<", 35.0).descriptor("duration_days", ">=", 5).date_range("1996-01-01", "2000-12-31")
+    return q.run().select(KEY, "start_date", "peak_date")
+
+
+ORACLES |= labels_sql.oracles()

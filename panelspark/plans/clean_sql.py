@@ -55,9 +55,9 @@ def oracles() -> dict[str, str]:
             g AS (SELECT *, row_number() OVER (PARTITION BY entity_id, kind ORDER BY date) - row_number() OVER (PARTITION BY entity_id, kind, f ORDER BY date) AS run FROM k)
             SELECT entity_id, kind, min(date) AS from_date, max(date) AS to_date, count(*) AS n_bars FROM g WHERE f GROUP BY entity_id, kind, run""",
         "eligibility": f"""{with_bars(*base)}, e AS (SELECT m.*, NOT k.tradeable AS excluded, row_number() OVER (PARTITION BY m.entity_id ORDER BY m.date) - 1 AS i,
-              avg(m.volume) OVER (PARTITION BY m.entity_id ORDER BY m.date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS adv_50, avg(m.volume * m.close) OVER (PARTITION BY m.entity_id ORDER BY m.date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS dollar_adv_50
+              avg(m.volume) OVER (PARTITION BY m.entity_id ORDER BY m.date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS adv_50, CAST(sum(CAST(m.volume AS DECIMAL(12,0)) * CAST(m.close AS DECIMAL(16,4))) OVER (PARTITION BY m.entity_id ORDER BY m.date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER (PARTITION BY m.entity_id ORDER BY m.date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS dollar_adv_50
               FROM member_days m JOIN (SELECT entity_id, date, tradeable FROM masked) k USING (entity_id, date))
-            SELECT entity_id, date, member, excluded, close > 0 AND volume > 0 AS data_valid, close >= 40 AS price_ok, i >= 251 AS history_ok, round(adv_50, 6) AS adv_50, round(dollar_adv_50, 8) AS dollar_adv_50,
+            SELECT entity_id, date, member, excluded, close > 0 AND volume > 0 AS data_valid, close >= 40 AS price_ok, i >= 251 AS history_ok, round(adv_50, 6) AS adv_50, dollar_adv_50,
               date < DATE '2001-01-01' AND NOT excluded AND (member OR date < DATE '1996-06-01') AND close > 0 AND volume > 0 AND close >= 40 AND i >= 251 AS eligible FROM e""",
         "lockbox_drop": f"{with_bars()} SELECT entity_id, date, close FROM bars WHERE date < DATE '2001-01-01'",
         "adjustment_offenders": f"""{with_bars(ADJUSTED)}, x AS (SELECT entity_id, date, close, CASE WHEN entity_id % 5 = 0 AND date >= DATE '2001-06-01' THEN NULL ELSE adj_factor END AS adj_factor FROM adjusted)
