@@ -68,9 +68,9 @@ def regime_daily(bars: DataFrame, line: DataFrame, eligible: DataFrame | None, w
     if require_eligible and eligible is None:
         raise ValueError("regimes need the eligibility of every date")
     rows = trend_anchor(line).join(breadth(bars, eligible, window).select("date", F.col("net_new_high_pct").alias("f2_score")), "date", "left")
-    score = F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("f2_score") * 10.0))
+    score = F.when(F.col("f2_score").isNotNull(), F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("f2_score") * 10.0)))
     label = F.when(score <= -3, "risk_off").when(score <= 3, "neutral").when(score.isNotNull(), "risk_on")
-    return rows.select("date", "f2_score", "trend_anchor", F.when(F.col("f2_score").isNotNull(), score).alias("composite_score"), label.alias("regime_label"), F.lit("v1_breadth_anchor").alias("score_version"))
+    return rows.select("date", "f2_score", "trend_anchor", score.alias("composite_score"), label.alias("regime_label"), F.lit("v1_breadth_anchor").alias("score_version"))
 
 
 def era_normalize(df: DataFrame, columns: list[str], era: str = "era") -> DataFrame:

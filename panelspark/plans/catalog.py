@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import windows as wf
 from panelspark.functions.anchor_kernels import Rules
-from panelspark.operators import clean, detect, features, labels, panels
+from panelspark.operators import clean, controls, detect, features, labels, panels, stats
 from panelspark.operators import moves as catalog_moves
-from panelspark.plans import clean_sql, detect_sql, features_sql, labels_sql
+from panelspark.plans import clean_sql, detect_sql, discovery_sql, features_sql, labels_sql
 from panelspark.plans.move_query import MoveQuery
 from panelspark.sources import bars as src
 from panelspark.sources.bars import KEY
@@ -419,3 +419,244 @@ def move_query_oversold(spark, sf_dir):
 
 
 ORACLES |= labels_sql.oracles()
+
+
+# Discovery, regimes, models
+
+SAMPLE_FEATURES = list(discovery_sql.FEATURES)
+
+
+def _frame(spark, sf_dir):
+    """Bars with four features, a 50-bar volume, the 20-bar forward return and the year."""
+    rows = wf.prepare(src.daily_bars(spark, sf_dir))
+    columns = wf.distance((63,)) | wf.volume((21,))
+    rows = rows.withColumns({f: columns[f] for f in SAMPLE_FEATURES} | {"adv_50": F.avg("volume").over(src.trailing(49)), "fwd": F.lead("close", 20).over(src.series()) / F.col("close") - 1, "year": F.year("date")})
+    return rows.select(KEY, "date", F.col("i").alias("bar_idx"), *SAMPLE_FEATURES, "adv_50", "fwd", "year")
+
+
+def _sample(spark, sf_dir):
+    rows = _frame(spark, sf_dir).where((F.col("bar_idx") >= 252) & ((F.col("bar_idx") - 252) % 5 == 0))
+    return rows.withColumn("point_id", F.concat_ws("-", KEY, "bar_idx"))
+
+
+def _labelled(spark, sf_dir):
+    bars, moves = _primary(spark, sf_dir, "trail_2")
+    found = labels.setup_labels(bars, moves.select(KEY, "trough_idx")).select(KEY, F.col("as_of_index").alias("bar_idx"), "label")
+    return _sample(spark, sf_dir).join(found, [KEY, "bar_idx"])
+
+
+def _tests(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = F.when(k % 11 == 0, None).otherwise((k * 7919 % 100003) / F.lit(100003.0) / (1 + 200 * (k % 7 == 3).cast("int")))
+    return src.table(spark, sf_dir, "part").select(k.alias("test_id"), F.concat(F.lit("f"), k % 7).alias("family"), p.alias("pvalue"))
+
+
+@query
+def univariate_screen(spark, sf_dir):
+    found = stats.univariate_screen(_labelled(spark, sf_dir), SAMPLE_FEATURES)
+    return found.select("feature", "n_setup", "n_control", *(F.round(c, 6).alias(c) for c in ("coef", "se", "cohens_d", "rank_biserial", "ks_stat")), F.round("t", 5).alias("t"))
+
+
+@query
+def bh_fdr(spark, sf_dir):
+    return stats.benjamini_hochberg(_tests(spark, sf_dir)).select("test_id", F.round("qvalue", 9).alias("qvalue"), "significant")
+
+
+@query
+def hierarchical_fdr(spark, sf_dir):
+    return stats.hierarchical_fdr(_tests(spark, sf_dir)).select("test_id", "family", "family_significant", "rejected")
+
+
+@query
+def ic_by_year(spark, sf_dir):
+    return stats.information_coefficient(_sample(spark, sf_dir), "year", "range_position_63", "fwd").select("year", "n", F.round("ic", 6).alias("ic"))
+
+
+@query
+def ic_decay(spark, sf_dir):
+    found = stats.decay_curve(_sample(spark, sf_dir).select(KEY, "bar_idx", "fwd"), _frame(spark, sf_dir), "range_position_63", "fwd")
+    return found.select("horizon_days", "n", F.round("ic", 6).alias("ic"))
+
+
+@query
+def factor_neutralize(spark, sf_dir):
+    return stats.factor_neutralize(_frame(spark, sf_dir), "range_position_63", "vol_surge_21").select(KEY, "date", F.round("residual", 6).alias("residual"))
+
+
+@query
+def industry_neutralize(spark, sf_dir):
+    rows = _frame(spark, sf_dir).join(src.dimensions(spark, sf_dir).select(KEY, "sector"), KEY).where("range_position_63 IS NOT NULL")
+    return stats.industry_neutralize(rows, "range_position_63").select(KEY, "date", F.round("residual", 6).alias("residual"))
+
+
+@query
+def factors_neutralize(spark, sf_dir):
+    rows = _frame(spark, sf_dir).select(KEY, "date", *SAMPLE_FEATURES)
+    return stats.factors_neutralize(rows, "range_position_63", ["vol_surge_21", "updown_vol_21"]).select(KEY, "date", "residual")
+
+
+@query
+def effect_retention(spark, sf_dir):
+    rows = stats.factor_neutralize(_frame(spark, sf_dir), "range_position_63", "vol_surge_21")
+    return stats.effect_retention(rows, "range_position_63", "residual", "fwd")
+
+
+@query
+def correlation_pairs(spark, sf_dir):
+    return stats.high_correlation_pairs(_sample(spark, sf_dir), SAMPLE_FEATURES, 0.1).withColumn("corr", F.round("corr", 6))
+
+
+@query
+def variance_inflation(spark, sf_dir):
+    return stats.variance_inflation(_sample(spark, sf_dir), SAMPLE_FEATURES)
+
+
+@query
+def mutual_information(spark, sf_dir):
+    return stats.feature_mutual_info(_labelled(spark, sf_dir), SAMPLE_FEATURES, "label")
+
+
+@query
+def decile_lift(spark, sf_dir):
+    return stats.decile_lift(_sample(spark, sf_dir), "range_position_63", "fwd").select("decile", F.round("mean", 6).alias("mean"), F.round("hit_rate", 6).alias("hit_rate"), "n")
+
+
+@query
+def decile_lift_by_date(spark, sf_dir):
+    return stats.decile_lift(_frame(spark, sf_dir), "range_position_63", "fwd", date="date", tie=KEY).select("decile", F.round("mean", 6).alias("mean"), F.round("hit_rate", 6).alias("hit_rate"), "n")
+
+
+@query
+def capacity(spark, sf_dir):
+    found = stats.capacity(_sample(spark, sf_dir).where("range_position_63 IS NOT NULL"), "range_position_63", "adv_50")
+    return found.select("n_top", F.round("median_adv", 6).alias("median_adv"), F.round("median_clip", 6).alias("median_clip"), F.round("aggregate_capacity", 4).alias("aggregate_capacity"))
+
+
+@query
+def reliability(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "labels").withColumn("p", F.col("doc_id") * 7919 % 1000 / F.lit(1000.0))
+    return stats.reliability(rows, "p", "quality").select("bin", F.round("mean_predicted", 9).alias("mean_predicted"), "frac_positive", "n")
+
+
+@query
+def auc_by_year(spark, sf_dir):
+    return stats.auc(_labelled(spark, sf_dir), "range_position_63", "label", ["year"]).select("year", F.round("auc", 9).alias("auc"))
+
+
+@query
+def classify_findings(spark, sf_dir):
+    k = F.col("p_partkey")
+    cents = lambda m, n=100: k * m % n / F.lit(100.0)
+    rows = src.table(spark, sf_dir, "part").select(k.alias("finding_id"), cents(37).alias("wf_consistency"), (0.4 + cents(53, 30)).alias("worst_fold_auc"), cents(71).alias("factor_retention"), cents(91).alias("industry_retention"), (k % 3 > 0).alias("significant_after"), (k % 5 > 1).alias("pretrough_actionable"))
+    return stats.classify_findings(rows).select("finding_id", "tier")
+
+
+@query
+def deflated_sharpe(spark, sf_dir):
+    line = src.benchmark(src.daily_bars(spark, sf_dir))
+    w = src.Window.orderBy("date")
+    rows = line.select("date", (F.col("bench_close") / F.lag("bench_close").over(w) - 1).alias("ret")).where("ret IS NOT NULL")
+    found = stats.deflated_sharpe_tracked(rows, [0.01, 0.02, 0.05, -0.01, 0.03])
+    return spark.createDataFrame([tuple(map(float, found.values()))], ", ".join(f"{n} double" for n in found))
+
+
+@query
+def block_bootstrap(spark, sf_dir):
+    return stats.block_bootstrap(_sample(spark, sf_dir).where("fwd IS NOT NULL"), "fwd")
+
+
+@query
+def breadth(spark, sf_dir):
+    return panels.breadth(src.daily_bars(spark, sf_dir))
+
+
+@query
+def market_context(spark, sf_dir):
+    bars, days, _ = _members(spark, sf_dir)
+    return panels.market_context(bars, clean.tradeable_mask(bars, _spans(days)).withColumn("eligible", F.col("tradeable")))
+
+
+@query
+def regime_daily(spark, sf_dir):
+    bars = src.daily_bars(spark, sf_dir)
+    return panels.regime_daily(bars, src.benchmark(bars), None, require_eligible=False)
+
+
+@query
+def era_normalize(spark, sf_dir):
+    found = panels.era_normalize(_sample(spark, sf_dir), ["range_position_63"], "year")
+    return found.select("point_id", F.round("range_position_63", 6).alias("range_position_63"))
+
+
+@query
+def rs_vs_theme(spark, sf_dir):
+    weights = src.dimensions(spark, sf_dir).select(KEY, "sector", (1 + F.col(KEY) % 3).alias("weight"))
+    bars = src.daily_bars(spark, sf_dir)
+    found = panels.rs_vs_theme(bars.join(weights.select(KEY, "sector"), KEY), panels.theme_composite(bars, weights))
+    return found.select(KEY, "date", F.round("rs_vs_theme", 6).alias("rs_vs_theme"))
+
+
+@query
+def theme_moves(spark, sf_dir):
+    weights = src.dimensions(spark, sf_dir).select(KEY, "sector", (1 + F.col(KEY) % 3).alias("weight"))
+    line = panels.theme_composite(src.daily_bars(spark, sf_dir), weights).select(F.col("sector").cast("long").alias(KEY), "date", F.col("composite").alias("close"))
+    return detect.theme_moves(line).select(KEY, "scale", "start_date", "peak_date", "magnitude")
+
+
+@query
+def shift_control(spark, sf_dir):
+    return controls.roll_within(_sample(spark, sf_dir).select(KEY, "bar_idx", "fwd"), "fwd", 5).select(KEY, "bar_idx", "rolled")
+
+
+@query
+def cyclic_null(spark, sf_dir):
+    return controls.cyclic_null(_sample(spark, sf_dir).select(KEY, "bar_idx", "fwd"), "fwd", 7).select(KEY, "bar_idx", "rolled")
+
+
+@query
+def permute_within_date(spark, sf_dir):
+    return controls.permute_within(_sample(spark, sf_dir).select("point_id", "date", "fwd"), "fwd", "date", 3).select("point_id", "date", "permuted")
+
+
+@query
+def agreement(spark, sf_dir):
+    rows = _sample(spark, sf_dir).where("range_position_63 IS NOT NULL AND vol_surge_21 IS NOT NULL")
+    rows = rows.select(F.floor(4 * F.least(F.lit(0.999), "range_position_63")).alias("a"), F.floor(F.least(F.lit(3), "vol_surge_21")).alias("b"))
+    return controls.agreement(rows, "a", "b").select(F.round("ari", 6).alias("ari"), F.round("variation_of_information", 6).alias("variation_of_information"))
+
+
+def _folds(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).withColumn("t", F.col("bar_idx"))
+    return labels.walkforward_folds(rows, [(350, 425), (425, 500)], 20, 10)
+
+
+@query
+def bake_off(spark, sf_dir):
+    return controls.bake_off(_folds(spark, sf_dir).cache(), SAMPLE_FEATURES)
+
+
+@query
+def calibrated_scores(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).where("range_position_63 IS NOT NULL")
+    return stats.reliability(controls.calibrate(rows, "range_position_63", "label"), "calibrated", "label")
+
+
+@query
+def kmeans_stability(spark, sf_dir):
+    return controls.cluster_stability(_sample(spark, sf_dir).dropna(subset=SAMPLE_FEATURES).select("point_id", *SAMPLE_FEATURES).cache(), SAMPLE_FEATURES, 4, runs=3)
+
+
+@query
+def era_transfer(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).withColumn("era", F.when(F.col("year") < 1998, "early").when(F.col("year") < 2000, "middle").otherwise("late"))
+    return controls.era_transfer(rows.select("point_id", "label", "era", *SAMPLE_FEATURES).cache(), SAMPLE_FEATURES)
+
+
+@query
+def monte_carlo(spark, sf_dir):
+    line = src.benchmark(src.daily_bars(spark, sf_dir))
+    rows = line.select((F.col("bench_close") / F.lag("bench_close").over(src.Window.orderBy("date")) - 1).alias("r"), "date").where("r IS NOT NULL").orderBy("date")
+    return controls.monte_carlo_summary(controls.monte_carlo(spark, [x["r"] for x in rows.limit(10_000).collect()], block=5))
+
+
+ORACLES |= discovery_sql.oracles()
