@@ -9,10 +9,11 @@ from panelspark.functions import windows as wf
 from panelspark.functions.anchor_kernels import Rules
 from panelspark.operators import clean, controls, detect, features, labels, panels, stats
 from panelspark.operators import moves as catalog_moves
-from panelspark.plans import clean_sql, detect_sql, discovery_sql, features_sql, labels_sql
+from panelspark.plans import clean_sql, detect_sql, discovery_sql, features_sql, labels_sql, streams_sql
 from panelspark.plans.move_query import MoveQuery
 from panelspark.sources import bars as src
 from panelspark.sources.bars import KEY
+from panelspark.streaming import bars as event_streams
 
 QUERIES: dict = {}
 ORACLES: dict = dict(features_sql.oracles())
@@ -660,3 +661,46 @@ def monte_carlo(spark, sf_dir):
 
 
 ORACLES |= discovery_sql.oracles()
+
+
+# Streams and sources
+
+
+@query
+def stream_bars_batch(spark, sf_dir):
+    return event_streams.event_bars(src.table(spark, sf_dir, "events"))
+
+
+@query
+def sliding_bars(spark, sf_dir):
+    return event_streams.event_bars(src.table(spark, sf_dir, "events"), "2 days", "1 day").groupBy("window_start").agg(F.count("*").alias("n_bars"), F.sum("volume").alias("n_events"))
+
+
+@query
+def event_sessions(spark, sf_dir):
+    return event_streams.event_sessions(src.table(spark, sf_dir, "events"), "6 hours").select("entity_id", "session_start", F.col("volume").alias("n_events"))
+
+
+@query
+def event_props(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return src.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count(k).alias("n"))
+
+
+@query
+def anchor_family_d_gapped(spark, sf_dir):
+    return labels.anchor_events(src.gapped(src.daily_bars(spark, sf_dir)), families="D").select(KEY, "bar_idx", "event_date", "native_stop")
+
+
+@query
+def anchor_family_e_gapped(spark, sf_dir):
+    return labels.anchor_events(src.gapped(src.daily_bars(spark, sf_dir)), families="E").select(KEY, "bar_idx", "event_date", "native_stop")
+
+
+@query
+def feature_matrix_points(spark, sf_dir):
+    bars = src.daily_bars(spark, sf_dir)
+    return features.feature_matrix(src.points(bars, every=20), bars, include_generic=False)
+
+
+ORACLES |= streams_sql.oracles()

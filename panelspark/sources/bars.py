@@ -74,3 +74,10 @@ def points(bars: DataFrame, first: int = 252, every: int = 5) -> DataFrame:
     at = bars.withColumn("bar_idx", F.row_number().over(series()) - 1)
     at = at.where((F.col("bar_idx") >= first) & ((F.col("bar_idx") - first) % every == 0))
     return at.select(F.concat_ws("-", KEY, "bar_idx").alias("point_id"), KEY, "date", "bar_idx")
+
+
+def gapped(bars: DataFrame) -> DataFrame:
+    """Bars whose opens stand up to 3 percent off the close before, by the day's volume: for events that need gaps."""
+    shifted = F.col("open") * (1 + (F.col("volume").cast("long") % 7 - 3) / F.lit(100.0))
+    rows = bars.withColumn("open", shifted)
+    return rows.withColumns({"high": F.greatest("high", "open"), "low": F.least("low", "open")})
