@@ -35,6 +35,8 @@ def split_hot(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = estimated.groupBy(F.col("bucket").alias("h_bucket")).agg(F.count("*").alias("h_rows"))
     blocks = F.ceil(F.col("h_rows") * ESTIMATE / block).cast("int").alias("h_blocks")
     hot = sizes.where(F.col("h_rows") * ESTIMATE > block).select("h_bucket", blocks)
+    if hot.isEmpty():
+        return rows.withColumn("part", F.lit(0))
     rows = rows.join(broadcast_below(hot, BROADCAST_ROWS), F.col("bucket") == F.col("h_bucket"), "left")
     own = F.pmod(F.xxhash64("node"), F.col("h_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("h_blocks") - 1)

@@ -46,6 +46,13 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def modest_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Texts are long: this session hands Python at most so many rows at a time (less, if it is set lower)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import dom
-from panelspark.llm.common import rows_of, text_or_empty
+from panelspark.llm.common import modest_batches, rows_of, text_or_empty
 
 #: Words in class, id and role attributes that say what a block is for.
 HINTS = (
@@ -316,5 +316,6 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html") ->
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), counts], ["page_id", "url", "text", "n_chars"])
 
+    modest_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty(html).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

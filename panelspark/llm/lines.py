@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.buckets import bucket_links, by_key, split_hot
-from panelspark.llm.common import broadcast_below, discard, materialise, rows_of
+from panelspark.llm.common import broadcast_below, discard, materialise, modest_batches, rows_of
 from panelspark.llm.components import connected_components
 
 SHINGLE, SIMILARITY, MIN_CHARS = 7, 0.8, 20
@@ -119,9 +119,11 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line of each document, once. Bands are null where this task has lately given the same line's."""
     names = ["doc_id", "digest", *(f"b{k}" for k in range(BANDS))]
+    given: set[bytes] = set()
     for batch in rows_of(batches, 256):
-        ids, digests, texts = [], [], []
+        ids, digests, fresh, texts = [], [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen = set()
             for line, digest in line_keys(text):
@@ -129,10 +131,18 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(digest)
                     ids.append(doc_id)
                     digests.append(digest)
-                    texts.append(line.strip())
+                    fresh.append(digest not in given)
+                    if fresh[-1]:
+                        given.add(digest)
+                        texts.append(line.strip())
         if ids:
-            bands = band_hashes(signatures(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bands[:, k].copy()) for k in range(BANDS))], names)
+            mask = np.asarray(fresh, dtype=bool)
+            bands = np.zeros((len(ids), BANDS), dtype=np.int32)
+            if texts:
+                bands[mask] = band_hashes(signatures(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bands[:, k].copy(), mask=~mask) for k in range(BANDS))], names)
+        if len(given) > 100_000:
+            given.clear()
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +170,8 @@ _HASH_BITS = np.uint64(48)
 def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (row, hash) keys of the lines' shingles, and where each row's begin."""
     h, owner, valid = shingle_hashes(lines)
-    keys = np.unique((owner[valid].astype(np.uint64) << _HASH_BITS) | (h[valid] >> (np.uint64(64) - _HASH_BITS)))
+    keys = np.sort((owner[valid].astype(np.uint64) << _HASH_BITS) | (h[valid] >> (np.uint64(64) - _HASH_BITS)))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     return keys, np.searchsorted(keys, np.arange(len(lines) + 1, dtype=np.uint64) << _HASH_BITS)
 
 
@@ -198,11 +209,25 @@ def alike(keys: np.ndarray, bounds: np.ndarray, similarity: float, bands: np.nda
     return near
 
 
+def _undecided(starts: np.ndarray, bands: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Keys with a pair to compare: all but those of two rows that share an earlier band."""
+    first = starts[:-1][np.diff(starts) == 2]
+    earlier = (bands[first] == bands[first + 1]).argmax(axis=1) != band[first]
+    keep = np.diff(starts) > 1
+    keep[np.flatnonzero(np.diff(starts) == 2)[earlier]] = False
+    return keep
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in by_key(batches, 4_000):
-            keys, bounds = shingle_sets(table.column("line").to_pylist())
+        for table, starts in by_key(batches, 8_000):
             bands = np.stack([table.column(f"b{k}").to_numpy() for k in range(BANDS)], axis=1)
+            keep = _undecided(starts, bands, table.column("bucket").to_numpy() >> 32)
+            rows = np.repeat(keep, np.diff(starts))
+            table, bands, starts = table.filter(pa.array(rows)), bands[rows], np.concatenate([[0], np.cumsum(np.diff(starts)[keep])])
+            if not table.num_rows:
+                continue
+            keys, bounds = shingle_sets(table.column("line").to_pylist())
             near = alike(keys, bounds, similarity, bands, table.column("bucket").to_numpy() >> 32)
             label = bucket_links(starts, table.column("home").to_numpy(), near, pairs=64)
             moved = np.flatnonzero(label != np.arange(len(label)))
@@ -279,6 +304,7 @@ def _rebuild(names: list[str]):
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows and columns of docs, text without the lines that go, and the columns n_lines and n_dropped."""
+    modest_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = source.where("text IS NOT NULL").mapInArrow(_lines, "doc_id long, digest binary, " + ", ".join(f"b{k} int" for k in range(BANDS)))
     lines = materialise(lines, "lines")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.llm import tokenizer
-from panelspark.llm.common import broadcast_below, materialise, rows_of, text_or_empty
+from panelspark.llm.common import broadcast_below, materialise, modest_batches, rows_of, text_or_empty
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are ranked in so many salted groups, so that a very common length is not one task's work.
@@ -48,6 +48,7 @@ def _pieces(tokenizer_path: str, ranks_path: str | None, end_id: int, capacity:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """One row for each piece of at most capacity tokens of each document and its end token."""
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return docs.mapInArrow(_pieces(tokenizer_path, ranks_path, end_id, capacity), PIECES)
 

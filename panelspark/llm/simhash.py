@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.buckets import bucket_links, by_key, split_hot
-from panelspark.llm.common import materialise, rows_of, text_or_empty
+from panelspark.llm.common import materialise, modest_batches, rows_of, text_or_empty
 from panelspark.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -62,6 +62,7 @@ def _fingerprints(shingle: int, seed: int):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row of docs (doc_id, text)."""
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import tokenizer
-from panelspark.llm.common import materialise, rows_of, scratch_path, text_or_empty
+from panelspark.llm.common import materialise, modest_batches, rows_of, scratch_path, text_or_empty
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 #: So many missing digests (32 bytes each) may be broadcast to keep known texts out of the shuffle.
@@ -51,6 +51,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str | None = N
 
     cache_dir keeps counts between calls, in one folder for each tokenizer digest; None starts an empty cache.
     """
+    modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     cache_path = f"{cache_dir or scratch_path(spark, 'token-cache')}/{tokenizer_digest(tokenizer_path)}"
     docs = docs.select("doc_id", text_or_empty().alias("text"))

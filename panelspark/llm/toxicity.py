@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import rows_of, text_or_empty
+from panelspark.llm.common import modest_batches, rows_of, text_or_empty
 
 #: The bound on what is fitted on: about so many confirmed toxic and so many unlabelled texts, drawn by a hash of doc_id.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
@@ -33,7 +33,7 @@ HELD_OUT = 5
 MAX_WEIGHT = 12.0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered by each Python worker; beyond, a word's weight is computed anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 200_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -42,8 +42,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def word_buckets(word: str) -> list[int]:
-    """The hashed features of a word: itself and its beginnings."""
-    return [zlib.crc32(x.encode()) for x in (f"w {word}", *(f"{n} {word[:n]}" for n in BEGINNINGS))]
+    """The hashed features of a word, as signed 32-bit numbers: itself and its beginnings."""
+    return [zlib.crc32(x.encode()) - (1 << 31) for x in (f"w {word}", *(f"{n} {word[:n]}" for n in BEGINNINGS))]
 
 
 def text_words(text: str) -> set[str]:
@@ -53,7 +53,7 @@ def text_words(text: str) -> set[str]:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches):
         found = [[b for w in sorted(text_words(t)) for b in word_buckets(w)] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int64()))], ["positive", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], ["positive", "buckets"])
 
 
 def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, seeds: int = 3, max_positive: int
 
     The prior is the toxic share of the labelled rows that are not held out. None if no such row is toxic.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select("doc_id", text_or_empty().alias("text")).where(~held_out())
     known = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()
@@ -167,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, seeds: int = 3, max_positive: int
     others = docs.where(draw(2, max_unlabelled, total)).select("doc_id").limit(2 * max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     # At most twice (max_positive + max_unlabelled) ids, so this side may be broadcast; only sampled texts go on.
     sample = docs.join(F.broadcast(chosen.unionByName(others)), "doc_id").select("positive", "text")
-    rows = sample.mapInArrow(_featurise, "positive boolean, buckets array<bigint>").toArrow()
+    rows = sample.mapInArrow(_featurise, "positive boolean, buckets array<int>").toArrow()
     flags = np.asarray(rows.column("positive").to_pylist(), dtype=bool)
     buckets = rows.column("buckets").combine_chunks()
     ends, flat = buckets.offsets.to_numpy()[1:-1], buckets.flatten().to_numpy(zero_copy_only=False)
@@ -185,6 +186,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs with a column toxicity between 0 and 1; all columns are kept."""
     if model is None:
         return docs.withColumn("toxicity", F.lit(0.0))
+    modest_batches(docs.sparkSession)
     at = docs.columns.index("text")
     parts = (model.names, model.weights, model.biases)  # chosen from the bounded sample, whatever the corpus
     kept = list(docs.columns)
