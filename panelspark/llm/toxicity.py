@@ -27,7 +27,7 @@ from panelspark.llm.common import modest_batches, rows_of, text_or_empty
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
 BEGINNINGS = (4, 5)
 #: A feature is kept if its rate among positives is so many times its corrected rate among clean texts, with such a z-score.
-MIN_RATIO, MIN_Z = 10.0, 5.0
+MIN_RATIO, MIN_Z = 6.0, 4.0
 HELD_OUT = 5
 #: No word alone may be stronger evidence than this.
 MAX_WEIGHT = 12.0
@@ -91,10 +91,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float, seed: int = 0, rounds: int = 150, rate: float = 0.05, batches: int = 4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float, seed: int = 0, rounds: int = 150, rate: float = 0.05, shrink: float = 5e-4, batches: int = 4) -> tuple[np.ndarray, float]:
     """Weights by feature and a bias that minimise the non-negative risk, by Adam on shuffled batches.
 
-    Weights stay non-negative: a word may speak for toxicity or say nothing, so that a long text's many plain words never
+    Each step shrinks weights a little towards 0, and they stay non-negative: a word may speak for toxicity or say nothing, so that a long text's many plain words never
     outweigh what it says.
     """
     rng = np.random.default_rng(seed)
@@ -117,7 +117,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
             w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w[:-1] = np.clip(w[:-1], 0.0, MAX_WEIGHT)
+            w[:-1] = np.clip(w[:-1] - shrink, 0.0, MAX_WEIGHT)
     return w[:-1], float(w[-1])
 
 
@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, seeds: int = 3, max_positive: int
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs with a column toxicity between 0 and 1; all columns are kept."""
+    """The rows of docs with a column toxicity between 0 and 1 (in the place of any such column); all others are kept."""
+    docs = docs.drop("toxicity")
     if model is None:
         return docs.withColumn("toxicity", F.lit(0.0))
     modest_batches(docs.sparkSession)
