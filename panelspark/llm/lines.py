@@ -29,6 +29,7 @@ SHINGLE, SIMILARITY, MIN_CHARS = 7, 0.8, 20
 #: At a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**10 = 0.995; at 0.85, 0.9993.
 BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
+PAIR = -1
 #: Lines that share a bucket (8 bytes each) and may be broadcast when their texts are fetched.
 BROADCAST_ROWS = 1_000_000
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -146,10 +147,19 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key (bucket, part) has another row."""
+    """Rows whose key (bucket, part) has another row. A key of two rows is renamed after its pair (part PAIR), so that a
+    pair that meets in many bands is one key."""
     for table, starts in by_key(batches, 200_000):
-        keep = np.repeat(np.diff(starts) > 1, np.diff(starts))
-        yield from table.filter(pa.array(keep)).to_batches()
+        sizes = np.diff(starts)
+        bucket, part, node, home = (table.column(c).to_numpy().copy() for c in ("bucket", "part", "node", "home"))
+        first = starts[:-1][sizes == 2]
+        a, b = node[first].view(np.uint64), node[first + 1].view(np.uint64)
+        pair = _mix(np.minimum(a, b) * np.uint64(_FACTOR) + _mix(np.maximum(a, b))).view(np.int64)
+        for row in (first, first + 1):
+            bucket[row], part[row], home[row] = pair, PAIR, True
+        keep = np.repeat(sizes > 1, sizes)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, part, node, home)], ["bucket", "part", "node", "home"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +188,8 @@ def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def alike(keys: np.ndarray, bounds: np.ndarray, similarity: float, bands: np.ndarray | None = None, band: np.ndarray | None = None):
     """near(i, j): the exact Jaccard similarity of rows' shingle sets reaches similarity.
 
-    bands has each row's band hashes and band the one whose bucket the row stands in: a pair that shares an earlier band is
-    compared in that bucket, and left alone here.
+    bands has each row's band hashes and band the one whose bucket the row stands in (-1 for a pair's own key): a pair that
+    shares an earlier band is compared in that bucket, and left alone here.
     """
     sizes = np.diff(bounds)
     low = (np.uint64(1) << _HASH_BITS) - np.uint64(1)
@@ -190,7 +200,7 @@ def alike(keys: np.ndarray, bounds: np.ndarray, similarity: float, bands: np.nda
             a, b = i[at : at + 65_536], j[at : at + 65_536]
             may = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
             if bands is not None:
-                may &= (bands[a] == bands[b]).argmax(axis=1) == band[a]
+                may &= (band[a] < 0) | ((bands[a] == bands[b]).argmax(axis=1) == band[a])
             some = np.flatnonzero(may)
             for part in np.array_split(some, 1 + int(sizes[b[some]].sum()) // 2_000_000):
                 if len(part):
@@ -209,26 +219,13 @@ def alike(keys: np.ndarray, bounds: np.ndarray, similarity: float, bands: np.nda
     return near
 
 
-def _undecided(starts: np.ndarray, bands: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """Keys with a pair to compare: all but those of two rows that share an earlier band."""
-    first = starts[:-1][np.diff(starts) == 2]
-    earlier = (bands[first] == bands[first + 1]).argmax(axis=1) != band[first]
-    keep = np.diff(starts) > 1
-    keep[np.flatnonzero(np.diff(starts) == 2)[earlier]] = False
-    return keep
-
-
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in by_key(batches, 8_000):
             bands = np.stack([table.column(f"b{k}").to_numpy() for k in range(BANDS)], axis=1)
-            keep = _undecided(starts, bands, table.column("bucket").to_numpy() >> 32)
-            rows = np.repeat(keep, np.diff(starts))
-            table, bands, starts = table.filter(pa.array(rows)), bands[rows], np.concatenate([[0], np.cumsum(np.diff(starts)[keep])])
-            if not table.num_rows:
-                continue
             keys, bounds = shingle_sets(table.column("line").to_pylist())
-            near = alike(keys, bounds, similarity, bands, table.column("bucket").to_numpy() >> 32)
+            band = np.where(table.column("part").to_numpy() == PAIR, -1, table.column("bucket").to_numpy() >> 32)
+            near = alike(keys, bounds, similarity, bands, band)
             label = bucket_links(starts, table.column("home").to_numpy(), near, pairs=64)
             moved = np.flatnonzero(label != np.arange(len(label)))
             digests = table.column("digest").combine_chunks()
@@ -246,6 +243,8 @@ def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     dealt = split_hot(rows).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     crowded = dealt.select("bucket", "part", "node", "home").mapInArrow(_crowded, "bucket long, part int, node long, home boolean")
     crowded = materialise(crowded, "crowded")
+    pairs = F.col("part") == PAIR
+    members = crowded.where(~pairs).unionByName(crowded.where(pairs).distinct())
     # Nodes only say which lines' texts are fetched; should two lines share one, both are fetched and compared.
     wanted = materialise(crowded.select(F.col("node").alias("w_node")).distinct(), "wanted")
     texts = docs.select("text").where("text IS NOT NULL").mapInArrow(_texts, "digest binary, line string")
@@ -253,7 +252,7 @@ def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     texts = texts.groupBy("t_node", "digest").agg(F.first("line").alias("line"))
     marks = lines.join(broadcast_below(wanted, BROADCAST_ROWS), F.xxhash64("digest") == F.col("w_node"), "left_semi")
     marks = marks.groupBy(F.col("digest").alias("m_digest")).agg(*(F.min(b).alias(b) for b in names))
-    members = crowded.join(texts, F.col("node") == F.col("t_node")).join(marks, F.col("digest") == F.col("m_digest"))
+    members = members.join(texts, F.col("node") == F.col("t_node")).join(marks, F.col("digest") == F.col("m_digest"))
     members = members.select("bucket", "part", "home", "digest", "line", *names)
     members = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     links = materialise(members.mapInArrow(_verify(similarity), "a binary, b binary"), "line-links")
@@ -303,7 +302,7 @@ def _rebuild(names: list[str]):
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows and columns of docs, text without the lines that go, and the columns n_lines and n_dropped."""
+    """The rows and columns of docs, text without the lines that go, and the columns n_lines and n_dropped (in the place of any such)."""
     modest_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = source.where("text IS NOT NULL").mapInArrow(_lines, "doc_id long, digest binary, " + ", ".join(f"b{k} int" for k in range(BANDS)))
@@ -314,7 +313,11 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     gone = gone.where(~(F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("keep_doc"))))
     gone = materialise(gone.groupBy(F.col("doc_id").alias("g_doc")).agg(F.collect_set("digest").alias("g_digests")), "lines-gone")
     discard(lines, links, decisions)
+    docs = docs.drop("n_lines", "n_dropped")
     names = list(docs.columns)
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("g_doc")), "left").select(*[docs[c] for c in names], "g_digests")
+    # Each row travels as one value, so its column names cannot clash with those of the join.
+    whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("w_doc"))
+    fresh = next(n for n in ("gone", *(f"gone_{k}" for k in range(len(names)))) if n not in names)
+    joined = whole.join(gone, F.col("w_doc").eqNullSafe(F.col("g_doc")), "left").select("row", "g_digests").select("row.*", F.col("g_digests").alias(fresh))
     schema = docs.select("*").schema.add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(_rebuild(names), schema)
