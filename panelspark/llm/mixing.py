@@ -22,7 +22,7 @@ MAX_EPOCHS = 3.0
 #: Sources (about 60 bytes each) that may be broadcast; beyond, AQE joins them by shuffle and splits hot ones.
 BROADCAST_ROWS = 50_000
 #: The seeded order of a source is cut into so many steps, whose words are summed before any rank is taken.
-STEPS = 65_536
+STEPS, COARSE = 65_536, 256
 
 
 def words(text: Column) -> Column:
@@ -69,11 +69,12 @@ def _step(key: Column) -> Column:
     return F.pmod(F.shiftright(key, 32), F.lit(STEPS)).cast("int")
 
 
-def _with_times(rows: DataFrame, key: Column, cuts: DataFrame) -> DataFrame:
-    """Adds source_size, target and times to rows (source, ...): each row looks up the cut of its own source."""
-    out = rows.join(broadcast_below(cuts, BROADCAST_ROWS), rows["source"].eqNullSafe(F.col("c_source")))
-    extra = (_step(key) < F.col("c_step")) | ((_step(key) == F.col("c_step")) & (key <= F.col("c_last_key")))
-    return out.withColumn("c_times", (F.col("c_whole") + F.when(extra, 1).otherwise(0)).cast("int"))
+def _with_times(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows (source, key, ...) with the cut of their own source and times."""
+    out = rows.join(broadcast_below(cuts, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("c_source")))
+    step, key = _step(F.col("key")), F.col("key")
+    extra = (step < F.col("c_step")) | ((step == F.col("c_step")) & (key <= F.col("c_last_key")))
+    return out.withColumn("times", (F.col("c_whole") + F.when(extra, 1).otherwise(0)).cast("int"))
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -81,6 +82,13 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
     return materialise(sized, "sizes")
 
 
+def _edge(sums: DataFrame, step: str, rest: str) -> DataFrame:
+    """The step of each source in which its running sum first reaches rest, and how much of rest is left at its start."""
+    so_far = Window.partitionBy("source").orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("before", F.sum("step_words").over(so_far) - F.col("step_words"))
+    return sums.where((F.col("before") < F.col(rest)) & (F.col("before") + F.col("step_words") >= F.col(rest))).withColumn("left", F.col(rest) - F.col("before"))
+
+
 def source_cuts(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weights=cyclic_weights) -> DataFrame:
     """One row for each source of sized (source, size, key): its target and how far the seeded order is taken."""
     targets = source_targets(sized, max_epochs, weights)
@@ -89,15 +97,17 @@ def source_cuts(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weights=cyclic
     targets = targets.withColumn("whole", whole)
     targets = targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
 
-    # The step of the seeded order in which a source's rest is used up: at most STEPS sums for each source.
+    # The step of the seeded order in which a source's rest is used up, found in two passes over sums: at most COARSE sums a
+    # source for the wide step, then the STEPS / COARSE sums inside it. No window ever holds more, however hot a source is.
     stepped = sized.withColumn("step", _step(F.col("key")))
-    steps = stepped.groupBy("source", "step").agg(F.sum("size").alias("step_words"))
-    by_step = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("before", F.sum("step_words").over(by_step) - F.col("step_words"))
+    fine = materialise(stepped.groupBy("source", "step").agg(F.sum("size").alias("step_words")), "steps")
     rests = broadcast_below(targets.select(F.col("source").alias("t_source"), "rest"), BROADCAST_ROWS)
-    edge = steps.join(rests, F.col("source").eqNullSafe(F.col("t_source")))
-    edge = edge.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("step_words") >= F.col("rest")))
-    edge = edge.select(F.col("source").alias("e_source"), F.col("step").alias("e_step"), (F.col("rest") - F.col("before")).alias("e_rest"))
+    wide = fine.groupBy("source", (F.col("step") / F.lit(STEPS // COARSE)).cast("int").alias("wide")).agg(F.sum("step_words").alias("step_words"))
+    wide = wide.join(rests, F.col("source").eqNullSafe(F.col("t_source")))
+    wide = _edge(wide, "wide", "rest").select(F.col("source").alias("w_source"), F.col("wide").alias("w_step"), "left")
+    inner = fine.join(broadcast_below(wide, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("w_source")) & ((F.col("step") / F.lit(STEPS // COARSE)).cast("int") == F.col("w_step")))
+    inner = inner.withColumnRenamed("left", "rest")
+    edge = _edge(inner, "step", "rest").select(F.col("source").alias("e_source"), F.col("step").alias("e_step"), F.col("left").alias("e_rest"))
     edge = materialise(edge, "edges")
 
     # Inside that step, documents are taken in order for as long as each brings the source nearer to its target.
@@ -115,13 +125,13 @@ def source_cuts(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weights=cyclic
 def plan(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = 7, weights=cyclic_weights) -> DataFrame:
     """doc_id, source, size, source_size, target, times: how often the mix takes each row of docs."""
     sized = _sized(docs, seed)
-    out = _with_times(sized, F.col("key"), source_cuts(sized, max_epochs, weights))
-    return out.select("doc_id", "source", "size", F.col("c_source_size").alias("source_size"), F.col("c_target").alias("target"), F.col("c_times").alias("times"))
+    out = _with_times(sized, source_cuts(sized, max_epochs, weights))
+    return out.select("doc_id", "source", "size", F.col("c_source_size").alias("source_size"), F.col("c_target").alias("target"), "times")
 
 
 def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = 7, weights=cyclic_weights) -> DataFrame:
     """The rows of docs, all columns kept, each as often as the plan takes it. Texts are not shuffled for few sources."""
     cuts = source_cuts(_sized(docs, seed), max_epochs, weights)
-    rows = _with_times(docs, _key(seed), cuts)
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("c_times"))).alias("c_copy")
-    return rows.select(*[docs[c] for c in docs.columns], copies).drop("c_copy")
+    # Each row travels as one value, so its column names cannot clash with those of the plan.
+    rows = _with_times(docs.select(F.struct(*docs.columns).alias("row"), "source", _key(seed).alias("key")), cuts)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
