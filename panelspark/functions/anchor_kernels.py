@@ -44,9 +44,13 @@ class Rules:
     horizon: int = 126
     win: float = 0.20
     stop_atr: float = 2.0
+    stop_kind: str = "atr"
+    stop_fixed: float = 0.07
     spacing: int = 21
 
 
+#: Other outcome rules that robustness runs look at.
+LABELS = {"t25": {"win": 0.25}, "fix7": {"stop_kind": "fixed"}, "h63": {"horizon": 63}, "native": {"stop_kind": "native"}}
 #: One changed threshold each, for sensitivity runs.
 VARIANTS = (
     ("a_depth", 0.25), ("a_depth", 0.45), ("a_vol", 1.25), ("a_vol", 2.0), ("a_win", 40), ("a_win", 90), ("b_inside", 3), ("b_rng", 2.0), ("c_pull_lo", 0.05), ("c_reclaim", 3), ("d_rng", 2.0),
@@ -289,10 +293,14 @@ def all_events(p: Panel, families: str = "ABCDEF") -> list[Event]:
     return kept
 
 
-def outcome(p: Panel, b: int) -> tuple[str, int | None, float, float, float]:
+def outcome(p: Panel, b: int, native: float = float("nan")) -> tuple[str, int | None, float, float, float]:
     """(outcome, bars, best, worst, stop): the target on the high is looked at before the stop on the close."""
     r, entry = p.rules, p.c[b]
     stop = entry - r.stop_atr * p.atr21[b]
+    if r.stop_kind == "fixed":
+        stop = entry * (1 - r.stop_fixed)
+    elif r.stop_kind == "native" and native == native:
+        stop = native
     h, low, c = (x[b + 1 : b + r.horizon + 1] for x in (p.h, p.l, p.c))
     ended = np.flatnonzero((h >= entry * (1 + r.win)) | (c < stop))
     k = int(ended[0]) if len(ended) else len(h) - 1

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import kernels as K
+from panelspark.shipping import ship
 from panelspark.sources.bars import KEY, benchmark, trailing
 
 SCALES = (2.0, 6.0, 15.0)
@@ -38,6 +39,7 @@ def per_entity(bars: DataFrame, run: Callable[[dict[str, np.ndarray]], dict[str,
         rows = {key: [keys[0].as_py()] * n} | rows
         return pa.Table.from_arrays([_column(rows[f.name], f.type) for f in arrow], schema=arrow)
 
+    ship(bars.sparkSession)
     return bars.groupBy(key).applyInArrow(apply, schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.functions.anchor_kernels import VARIANTS, Panel, Rules, all_events, outcome
+from panelspark.functions.anchor_kernels import LABELS, VARIANTS, Panel, Rules, all_events, outcome
 from panelspark.functions.windows import safe_div
 from panelspark.operators.detect import per_entity
 from panelspark.sources.bars import KEY, series, trailing
@@ -129,7 +129,7 @@ def anchor_events(bars: DataFrame, rules: Rules = Rules(), families: str = "ABCD
         dates = s["date"].to_pylist()
         out = {n: [] for n in names}
         for b, family, tag, native in all_events(p, families) if p.n else ():
-            kind, after, best, worst, stop = outcome(p, b)
+            kind, after, best, worst, stop = outcome(p, b, native)
             row = (dates[b], b, family, tag or None, float(p.c[b]), float(stop), float(native), kind, dates[b + after] if after else None, best, worst, after)
             for n, value in zip(names, row, strict=True):
                 out[n].append(value)
@@ -147,6 +147,15 @@ def anchor_variants(bars: DataFrame, variants=VARIANTS) -> DataFrame:
     return out
 
 
+def alternative_labels(bars: DataFrame, labels: dict = LABELS, families: str = "ABCDEF") -> DataFrame:
+    """The same events under other targets, stops and horizons, named by rule."""
+    out = None
+    for name, changed in labels.items():
+        found = anchor_events(bars, replace(Rules(), **changed), families).withColumn("rule", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def walkforward_folds(points: DataFrame, bounds: list[tuple[int, int]], k: int, embargo: int, t: str = "t") -> DataFrame:
     """Rows by fold and role: train if the label ends before the test starts, less the embargo; test if its label is complete.
 
@@ -165,6 +174,12 @@ def disjoint_folds(rows: DataFrame, n: int) -> DataFrame:
     return rows.join(ranked, KEY)
 
 
+def rewind_points(cases: DataFrame, offsets: tuple[int, ...] = (0, 5, 21, 63)) -> DataFrame:
+    """Each case and control (entity_id, bar_idx, label) read so many bars before; those without that many bars go."""
+    at = cases.withColumn("offset", F.explode(F.array(*(F.lit(o) for o in offsets)))).withColumn("bar_idx", F.col("bar_idx") - F.col("offset"))
+    return at.where("bar_idx >= 0")
+
+
 def first_hit(flag: Column, value: Column, ahead: int) -> Column:
     """The value at the first flagged bar from here to ahead bars on."""
     return F.first(F.when(flag, value), ignorenulls=True).over(series().rowsBetween(0, ahead))

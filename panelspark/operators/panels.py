@@ -78,3 +78,15 @@ def era_normalize(df: DataFrame, columns: list[str], era: str = "era") -> DataFr
     w = Window.partitionBy(era)
     z = lambda c: F.when(F.stddev_pop(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.when(F.stddev_pop(c).over(w) > 0, F.stddev_pop(c).over(w))).otherwise(0.0)
     return df.withColumns({c: F.when(F.col(c).isNotNull(), z(c)) for c in columns})
+
+
+def downside_capture(bars: DataFrame, window: int = 63, span: int = 21) -> DataFrame:
+    """entity_id, date, downside_capture: over the benchmark's worst span within the window, the entity's return over the
+    benchmark's; null if the benchmark never fell or a value is missing. Bars need bench_close."""
+    b, c = F.col("bench_close"), F.col("close")
+    rows = bars.withColumns({"b_ret": b / F.lag(b, span).over(series()) - 1, "c_ret": c / F.lag(c, span).over(series()) - 1, "i": F.row_number().over(series()) - 1})
+    w = trailing(window - span)
+    whole = F.count("b_ret").over(w) == F.count("*").over(w)
+    worst = F.min(F.when(F.col("b_ret").isNotNull(), F.struct("b_ret", "i", "c_ret"))).over(w)
+    rows = rows.withColumn("worst", F.when(whole & (F.col("i") >= window), worst))
+    return rows.select("entity_id", "date", F.when(F.col("worst.b_ret") < 0, F.col("worst.c_ret") / F.when(F.col("worst.b_ret") < 0, F.col("worst.b_ret"))).alias("downside_capture"))

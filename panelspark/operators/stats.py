@@ -308,3 +308,34 @@ def feature_mutual_info(matrix: DataFrame, features: list[str], label: str, bins
     p = F.col("n") / F.sum("n").over(w())
     joint = cells.withColumn("term", p * F.log(F.col("n") * F.sum("n").over(w()) / (F.sum("n").over(w("b")) * F.sum("n").over(w("y")))))
     return joint.groupBy("feature").agg(F.sum("term").alias("mutual_info"))
+
+
+def pretrough_actionable(points: DataFrame, bars: DataFrame, feature: str, target: str, cluster: str = "entity_id", horizons: tuple[int, ...] = (5, 10, 20, 30), alpha: float = 0.05) -> bool:
+    """Whether the feature, read at every required horizon before the point, still regresses on the target with clustered significance."""
+    at = points.withColumn("horizon_days", F.explode(F.array(*(F.lit(h) for h in horizons)))).withColumn("f_idx", F.col("bar_idx") - F.col("horizon_days"))
+    f = bars.select(F.col("entity_id").alias("f_id"), F.col("bar_idx").alias("f_bar"), F.col(feature).alias("f_value"))
+    rows = at.join(f, (F.col("entity_id") == F.col("f_id")) & (F.col("f_idx") == F.col("f_bar"))).where(F.col("f_value").isNotNull() & F.col(target).isNotNull())
+    ranked = rows.select("horizon_days", cluster, average_rank("f_value", ["horizon_days"]).alias("g"), average_rank(target, ["horizon_days"]).alias("x"))
+    tested = cluster_robust(ranked, "horizon_days", cluster=cluster)
+    return tested.where(F.col("pvalue") < alpha).count() == len(horizons)
+
+
+def regime_collinearity(matrix: DataFrame, features: list[str], regime: str, least: float = 0.9) -> DataFrame:
+    """feature and corr for features that nearly repeat the regime score."""
+    rows = long_form(matrix.where(F.col(regime).isNotNull()), features, [regime])
+    spread = F.stddev_pop("x") * F.stddev_pop(regime)
+    out = rows.groupBy("feature").agg(F.count("*").alias("n"), (F.covar_pop("x", regime) / F.when(spread > 0, spread)).alias("corr"))
+    return out.where((F.col("n") >= 3) & (F.abs("corr") >= least)).select("feature", "corr")
+
+
+def score_band(scores: list[float], level: float = 0.95) -> dict[str, float]:
+    """Interpolated quantiles and mean of null scores."""
+    tail = (1 - level) / 2
+    return {"lo": float(np.quantile(scores, tail)), "hi": float(np.quantile(scores, 1 - tail)), "mean": float(np.mean(scores))}
+
+
+def control_verdicts(real: float, shuffled: dict, permuted: dict, shifted: float | None = None, chance: float = 0.5, tolerance: float = 0.05) -> dict[str, bool]:
+    """leak_free, has_signal, cross_sectional_edge and passes, each its own verdict."""
+    leak_free = shuffled["mean"] <= chance + tolerance and (shifted is None or shifted <= shuffled["hi"])
+    has_signal = real > shuffled["hi"]
+    return {"leak_free": leak_free, "has_signal": has_signal, "cross_sectional_edge": real > permuted["hi"], "passes": leak_free and has_signal}

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions import udfs
 from panelspark.functions import windows as wf
 from panelspark.functions.anchor_kernels import Rules
-from panelspark.operators import clean, controls, detect, features, labels, panels, stats
+from panelspark.operators import clean, controls, detect, features, labels, panels, pilot, stats
 from panelspark.operators import moves as catalog_moves
-from panelspark.plans import clean_sql, detect_sql, discovery_sql, features_sql, labels_sql, streams_sql
+from panelspark.plans import clean_sql, detect_sql, discovery_sql, features_sql, labels_sql, pilot_sql, streams_sql
 from panelspark.plans.move_query import MoveQuery
 from panelspark.sources import bars as src
+from panelspark.sources import synthetic
 from panelspark.sources.bars import KEY
 from panelspark.streaming import bars as event_streams
 
@@ -704,3 +706,111 @@ def feature_matrix_points(spark, sf_dir):
 
 
 ORACLES |= streams_sql.oracles()
+
+
+# Pilot universe, robustness and exhibits
+
+
+@query
+def pilot_allocation(spark, sf_dir):
+    cells = src.dimensions(spark, sf_dir).groupBy("region", "is_delisted").agg(F.count("*").alias("n"))
+    return pilot.proportional_allocation(cells, 8, ["region", "is_delisted"])
+
+
+@query
+def pilot_sample(spark, sf_dir):
+    return pilot.stratified_sample(src.dimensions(spark, sf_dir), ["region", "is_delisted"], 8)
+
+
+@query
+def reverse_splits(spark, sf_dir):
+    bars = src.adjusted_bars(src.daily_bars(spark, sf_dir)).withColumn("adj_factor", 1 / F.col("adj_factor"))
+    return pilot.reverse_splits(bars)
+
+
+@query
+def first_eligible_families(spark, sf_dir):
+    bars, days, intervals = _members(spark, sf_dir)
+    named = intervals.withColumn("index_name", F.when(F.col(KEY) % 3 == 0, "sp500").when(F.col(KEY) % 3 == 1, "sp600").otherwise("r2000"))
+    eligible = bars.select(KEY, "date", (F.col("volume") > 100).alias("eligible"))
+    found = pilot.first_eligible(eligible, named)
+    return found.select(KEY, "first_date", pilot.index_family(F.col("indexes")).alias("family"), pilot.era(F.col("first_date")).alias("era"))
+
+
+@query
+def base_symbols(spark, sf_dir):
+    symbol = F.concat(F.lit("S"), "s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, "Q").otherwise(""), F.when(F.col("s_suppkey") % 2 == 0, "-200101").otherwise(""))
+    rows = src.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(KEY), symbol.alias("symbol"), F.col("s_name").alias("name"))
+    return rows.select(KEY, pilot.base_symbol(F.col("symbol")).alias("base"), pilot.bankrupt(F.col("symbol"), F.col("name")).alias("bankrupt"))
+
+
+@query
+def latest_bar(spark, sf_dir):
+    return pilot.latest_per_key(src.daily_bars(spark, sf_dir).select(KEY, "date", "close"), KEY, "date")
+
+
+@query
+def alternative_labels(spark, sf_dir):
+    return labels.alternative_labels(src.daily_bars(spark, sf_dir), families="A").groupBy("rule", "outcome").agg(F.count("*").alias("n"))
+
+
+@query
+def rewind_auc(spark, sf_dir):
+    cases = _labelled(spark, sf_dir).select(KEY, "bar_idx", "label")
+    rows = labels.rewind_points(cases).join(_frame(spark, sf_dir).select(KEY, "bar_idx", "range_position_63"), [KEY, "bar_idx"])
+    return stats.auc(rows, "range_position_63", "label", ["offset"]).select("offset", F.round("auc", 9).alias("auc"))
+
+
+@query
+def detector_comparison(spark, sf_dir):
+    bars = src.daily_bars(spark, sf_dir)
+    both = detect.detect_moves(bars).select("scale", "magnitude").unionByName(detect.detect_swings(bars).select("scale", F.col("trough_gain_pct").alias("magnitude")))
+    cut = lambda q: F.round(F.percentile("magnitude", q), 6)
+    return both.groupBy("scale").agg(F.count("*").alias("n"), cut(0.1).alias("p10"), cut(0.5).alias("p50"), cut(0.9).alias("p90"), F.avg((F.col("magnitude") < 0.1).cast("int")).alias("share_small"))
+
+
+@query
+def downside_capture(spark, sf_dir):
+    bars = src.daily_bars(spark, sf_dir)
+    found = panels.downside_capture(bars.join(src.benchmark(bars), "date"))
+    return found.select(KEY, "date", F.round("downside_capture", 6).alias("downside_capture"))
+
+
+@query
+def regime_collinearity(spark, sf_dir):
+    return stats.regime_collinearity(_sample(spark, sf_dir), ["range_position_63", "vol_surge_21"], "dist_from_high_63", 0.1).select("feature", F.round("corr", 6).alias("corr"))
+
+
+@query
+def temporal_logit(spark, sf_dir):
+    return spark.createDataFrame([(controls.temporal_logit_auc(_labelled(spark, sf_dir), SAMPLE_FEATURES),)], "auc double")
+
+
+@query
+def negative_control_report(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).where("range_position_63 IS NOT NULL").select("point_id", KEY, "bar_idx", "date", "label", "range_position_63")
+    found = controls.control_report(rows.cache(), "range_position_63", "label", "date", n_null=5)
+    return spark.createDataFrame([(found["real"], found["shuffle_null"]["lo"], found["shuffle_null"]["hi"], found["shifted_within_entity"], found["passes"])], "real double, null_lo double, null_hi double, shifted double, passes boolean")
+
+
+@query
+def cluster_representation(spark, sf_dir):
+    rows = controls.kmeans_labels(_sample(spark, sf_dir).dropna(subset=SAMPLE_FEATURES).select("point_id", *SAMPLE_FEATURES).cache(), SAMPLE_FEATURES, 4)
+    return controls.resolve_representation(rows, "cluster_id", SAMPLE_FEATURES)
+
+
+@query
+def synthetic_moves(spark, sf_dir):
+    return detect.detect_moves(synthetic.generate_panel(spark, 8, 900, seed=2)[0]).groupBy("scale").agg(F.count("*").alias("n"))
+
+
+@query
+def sql_functions(spark, sf_dir):
+    udfs.register(spark)
+    bars = src.daily_bars(spark, sf_dir)
+    wide = bars.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("date", "high", "low", "close"))).alias("b"))
+    wide.select(KEY, F.col("b.high").alias("h"), F.col("b.low").alias("l"), F.col("b.close").alias("c")).createOrReplaceTempView("panelspark_series")
+    return spark.sql("SELECT s.entity_id, m.start_idx AS trough_idx, m.peak_idx, m.resolved_idx FROM panelspark_series s, LATERAL detect_moves(s.h, s.l, s.c, 6.0D) m")
+
+
+ORACLES |= pilot_sql.oracles()
