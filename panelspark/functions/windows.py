@@ -101,8 +101,14 @@ def volume(lookbacks=LOOKBACKS) -> dict[str, Column]:
     return out
 
 
-def _count_below(values: Column, bound: Column) -> Column:
-    return F.size(F.filter(values, lambda x: x < bound))
+def _share_below_median(values: Column, n: int) -> Column:
+    """Share of n values below their median; null where the median is not positive. One sort of the window's list."""
+
+    def of(x: Column) -> Column:
+        median = F.get(x, n // 2) if n % 2 else (F.get(x, n // 2 - 1) + F.get(x, n // 2)) / 2
+        return F.when(median > 0, F.size(F.filter(x, lambda v: v < median)) / F.lit(n))
+
+    return F.transform(F.array(F.array_sort(values)), of)[0]
 
 
 def _cumulated_range(values: Column, mean: Column) -> Column:
@@ -117,9 +123,7 @@ def tightness(lookbacks=LOOKBACKS) -> dict[str, Column]:
     out = {}
     for n in lookbacks:
         w = trailing(n - 1)
-        median = F.percentile("rng", 0.5).over(w)
-        below = _count_below(F.collect_list("rng").over(w), median)
-        out[f"tight_days_share_{n}"] = _r(full(F.when(median > 0, below / F.lit(n)), n))
+        out[f"tight_days_share_{n}"] = _r(full(_share_below_median(F.collect_list("rng").over(w), n), n))
     return out
 
 

@@ -501,7 +501,8 @@ def factors_neutralize(spark, sf_dir):
 @query
 def effect_retention(spark, sf_dir):
     rows = stats.factor_neutralize(_frame(spark, sf_dir), "range_position_63", "vol_surge_21")
-    return stats.effect_retention(rows, "range_position_63", "residual", "fwd")
+    found = stats.effect_retention(rows.withColumn("residual", F.round("residual", 9)), "range_position_63", "residual", "fwd")
+    return found.select(F.round("raw_ic", 6).alias("raw_ic"), F.round("residual_ic", 6).alias("residual_ic"), F.round("retention", 5).alias("retention"))
 
 
 @query
@@ -602,8 +603,8 @@ def rs_vs_theme(spark, sf_dir):
 @query
 def theme_moves(spark, sf_dir):
     weights = src.dimensions(spark, sf_dir).select(KEY, "sector", (1 + F.col(KEY) % 3).alias("weight"))
-    line = panels.theme_composite(src.daily_bars(spark, sf_dir), weights).select(F.col("sector").cast("long").alias(KEY), "date", F.col("composite").alias("close"))
-    return detect.theme_moves(line).select(KEY, "scale", "start_date", "peak_date", "magnitude")
+    line = panels.theme_composite(src.daily_bars(spark, sf_dir), weights).select(F.col("sector").cast("long").alias(KEY), "date", F.round("composite", 9).alias("close"))
+    return detect.theme_moves(line).select(KEY, "scale", "start_date", "peak_date", F.round("magnitude", 6).alias("magnitude"))
 
 
 @query

@@ -11,7 +11,7 @@ def recursive(*parts: str) -> str:
 
 TR = f"""
 t0 AS (SELECT *, row_number() OVER ({W}) - 1 AS i, lag(close) OVER ({W}) AS pc FROM bars),
-t AS (SELECT *, greatest(high - low, abs(high - coalesce(pc, close)), abs(low - coalesce(pc, close))) AS tr,
+t AS MATERIALIZED (SELECT *, greatest(high - low, abs(high - coalesce(pc, close)), abs(low - coalesce(pc, close))) AS tr,
              greatest(close - pc, 0) AS gain, greatest(pc - close, 0) AS loss FROM t0)"""
 
 

@@ -44,7 +44,13 @@ def oracles() -> dict[str, str]:
     rank = lambda c, part: f"(rank() OVER (PARTITION BY {part} ORDER BY {c}) + (count(*) OVER (PARTITION BY {part}, {c}) - 1) / 2.0)"
     bh = lambda p, extra="": f"row_number() OVER (PARTITION BY {extra}{p} IS NULL ORDER BY {p}) AS rk, count(*) OVER (PARTITION BY {extra}{p} IS NULL) AS m"
     elig = "el AS (SELECT entity_id, date FROM masked WHERE tradeable)"
+    retention = f"""{with_bars(PREP, SAMPLE)}, k AS (SELECT * FROM fm WHERE range_position_63 IS NOT NULL AND vol_surge_21 IS NOT NULL), w AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, avg(range_position_63) OVER (PARTITION BY date) AS mf,
+              avg(vol_surge_21) OVER (PARTITION BY date) AS mx, covar_pop(range_position_63, vol_surge_21) OVER (PARTITION BY date) AS cv, var_pop(vol_surge_21) OVER (PARTITION BY date) AS vx FROM k),
+            z AS (SELECT 1 AS one, range_position_63 AS a, round(range_position_63 - mf - CASE WHEN n > 2 AND vx > 1e-18 THEN cv / vx ELSE 0 END * (vol_surge_21 - mx), 9) AS b, fwd AS t FROM w WHERE fwd IS NOT NULL),
+            r AS (SELECT {rank('a', 'one')} AS ra, {rank('b', 'one')} AS rb, {rank('t', 'one')} AS rt FROM z), cx AS (SELECT abs(covar_pop(ra, rt) / (stddev_pop(ra) * stddev_pop(rt))) AS x, abs(covar_pop(rb, rt) / (stddev_pop(rb) * stddev_pop(rt))) AS y FROM r)
+            SELECT round(x, 6) AS raw_ic, round(y, 6) AS residual_ic, round(y / x, 5) AS retention FROM cx"""
     return {
+        "effect_retention": retention,
         "univariate_screen": f"""{recursive(*labelled, CLUSTERED, EFFECTS.replace("sum(max(0)) OVER () AS z, ", ""))}
             SELECT n2.feature, CAST(n1 AS BIGINT) AS n_setup, CAST(n0 AS BIGINT) AS n_control, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 5) AS t, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS cohens_d,
               round(1 - 2 * (r1 - n1 * (n1 + 1) / 2.0) / (CAST(n1 AS DOUBLE) * n0), 6) AS rank_biserial, round(ks_stat, 6) AS ks_stat FROM n2 JOIN ks USING (feature) JOIN cr USING (feature)""",

@@ -134,7 +134,13 @@ def oracles() -> dict[str, str]:
     b AS (SELECT 0 AS entity_id, date, bench_close AS close FROM bench),
     b0 AS (SELECT *, row_number() OVER ({W}) - 1 AS i, lag(close) OVER ({W}) AS pc FROM b),
     b1 AS (SELECT *, CASE WHEN pc > 0 AND close > 0 THEN ln(close / pc) END AS r FROM b0)"""
+    tight = ", ".join(f"{over('quantile_cont(rng, 0.5)', n - 1)} AS m{n}, {over('list(rng)', n - 1)} AS l{n}" for n in LOOKBACKS)
+    marked = f"mk AS (SELECT *, {tight} FROM rb)"
+    shares = {f"tight_days_share_{n}": f"round({full(f'CASE WHEN m{n} > 0 THEN len(list_filter(l{n}, lambda x: x < m{n})) / CAST({n} AS DOUBLE) END', n)}, 6)" for n in LOOKBACKS}
+    every = _distance() | _volatility() | _volume() | shares | _averages() | _relative()
+    columns = ", ".join(f"{e} AS {n}" for n, e in every.items())
     return {
+        "feature_matrix_points": f"{with_bars(PREP, BENCH, priced, marked)}, fx AS (SELECT entity_id, i, {columns} FROM mk) SELECT entity_id || '-' || i AS point_id, entity_id, CAST(i AS INT) AS bar_idx, {', '.join(every)} FROM fx WHERE i >= 252 AND (i - 252) % 20 = 0",
         "features_distance": _query(_distance()),
         "features_volatility": _query(_volatility()),
         "features_volume": _query(_volume()),
