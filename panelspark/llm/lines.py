@@ -56,47 +56,54 @@ def _mix(h: np.ndarray) -> np.ndarray:
 _FACTOR, _MOST = 0x9E3779B97F4A7C15, 1 << 16
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**bits."""
     both = []
-    for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
-        power = np.full(_MOST, base, dtype=np.uint64)
+    for base in (_FACTOR % (1 << bits), pow(_FACTOR, -1, 1 << bits)):
+        power = np.full(_MOST, base, dtype=f"<u{bits // 8}")
         power[0] = 1
-        both.append(np.cumprod(power, dtype=np.uint64))
+        both.append(np.cumprod(power, dtype=power.dtype))
     return both[0], both[1]
 
 
-def _windows(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every SHINGLE code points in a row: differences of one running sum, scaled back."""
-    up, down = _powers()
+def _windows(points: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of every SHINGLE code points in a row: differences of one running sum, scaled back."""
+    up, down = _powers(bits)
     out = []
     for at in range(0, len(points) - SHINGLE + 1, _MOST - SHINGLE):
         part = points[at : at + _MOST]
-        running = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * down[: len(part)], out=running[1:])
+        running = np.zeros(len(part) + 1, dtype=up.dtype)
+        np.cumsum(part * down[: len(part)], out=running[1:], dtype=up.dtype)
         out.append(((running[SHINGLE:] - running[:-SHINGLE]) * up[: len(part) - SHINGLE + 1])[: _MOST - SHINGLE])
-    return _mix(np.concatenate(out))
+    return np.concatenate(out)
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, line, valid) for every window over the joined lines; windows that leave their line are not valid."""
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the joined lines, the line of each, and whether a window that starts there stays in its line."""
     joined = "\n".join(lines) + "\n" * (SHINGLE + 1)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     lengths = np.asarray([len(x) + 1 for x in lines], dtype=np.int64)
     owner = np.repeat(np.arange(len(lines) + 1), np.append(lengths, SHINGLE + 1))[: len(points)]
-    h = _windows(points)
     n = len(points) - SHINGLE
-    return h[:n], owner[:n], owner[:n] == owner[SHINGLE : SHINGLE + n]
+    return points, owner[:n], owner[:n] == owner[SHINGLE : SHINGLE + n]
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, line, valid) for every window over the joined lines; windows that leave their line are not valid."""
+    points, owner, valid = _points(lines)
+    return _mix(_windows(points, 64))[: len(owner)], owner, valid
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash: the least hash in each of BINS bins; an empty bin borrows from bins in a fixed order."""
-    h, owner, valid = shingle_hashes(lines)
-    bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    values = np.where(valid, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32), _EMPTY)
+    points, owner, valid = _points(lines)
+    h = _windows(points, 32)[: len(owner)]
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x846CA68B)
+    bins = ((h >> np.uint32(16)) * np.uint32(BINS)) >> np.uint32(16)
+    values = np.where(valid, ((h ^ (h >> np.uint32(13))) * np.uint32(0x7FEB352D)) & np.uint32(0xFFFFFFFE), _EMPTY)
     out = np.full((len(lines) + 1) * BINS, _EMPTY, dtype=np.uint32)
-    np.minimum.at(out, owner * BINS + bins.astype(np.int64), values)
+    np.minimum.at(out, owner * BINS + bins, values)
     out = out.reshape(-1, BINS)[: len(lines)]
     full = out.copy()
     row, column = np.nonzero(out == _EMPTY)

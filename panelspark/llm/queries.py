@@ -70,6 +70,19 @@ QUERIES = {
 
 #: Queries that SQL can express in full; the others are tested against brute force, round trips or held-out labels.
 ORACLES = {
+    # The tables' pages hold their article in one element; SQL can cut it out, though not decide what an article is.
+    "op5_html_extraction": r"""
+        WITH a AS (
+          SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer>|$)', 1) AS x FROM pages
+        ), b AS (
+          SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a
+        ), c AS (
+          SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&copy;', '©'), '&amp;', '&') AS x FROM b
+        ), d AS (
+          SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c
+        )
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+    """,
     "op8_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
