@@ -25,8 +25,10 @@ PAIRS = 1 << 20
 BROADCAST_ROWS = 200_000
 
 
-def split_hot(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds part to rows (bucket, node, home, ...): keys (bucket, part) hold about two blocks at most.
+def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows (bucket, node, home, ...) with part, dealt by key and sorted by it in each partition.
+
+    Keys (bucket, part) hold about two blocks at most.
 
     Rows of a hot bucket go to every pair of blocks where they are needed; home then says on which side they stand. Sizes
     are estimated from one node in ESTIMATE; an estimate only chooses the number of blocks, never whether rows meet.
@@ -36,7 +38,7 @@ def split_hot(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = F.ceil(F.col("h_rows") * ESTIMATE / block).cast("int").alias("h_blocks")
     hot = sizes.where(F.col("h_rows") * ESTIMATE > block).select("h_bucket", blocks)
     if hot.isEmpty():
-        return rows.withColumn("part", F.lit(0))
+        return rows.repartition("bucket").sortWithinPartitions("bucket").withColumn("part", F.lit(0))
     rows = rows.join(broadcast_below(hot, BROADCAST_ROWS), F.col("bucket") == F.col("h_bucket"), "left")
     own = F.pmod(F.xxhash64("node"), F.col("h_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("h_blocks") - 1)
@@ -45,7 +47,7 @@ def split_hot(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     as_other = F.transform(others, lambda i: pair(i * F.col("h_blocks") + own, F.lit(False)))
     places = F.when(F.col("h_blocks").isNull(), F.array(pair(F.lit(0), F.col("home")))).otherwise(F.concat(as_home, as_other))
     kept = [c for c in rows.columns if c not in ("home", "h_bucket", "h_blocks")]
-    return rows.select(*kept, F.inline(places))
+    return rows.select(*kept, F.inline(places)).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
 
 
 def _walk(homes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:

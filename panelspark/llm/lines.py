@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.buckets import bucket_links, by_key, split_hot
+from panelspark.llm.buckets import bucket_links, by_key, dealt
 from panelspark.llm.common import broadcast_below, discard, materialise, modest_batches, rows_of
 from panelspark.llm.components import connected_components
 
@@ -247,8 +247,7 @@ def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     distinct = lines.groupBy("digest").agg(*(F.min(b).alias(b) for b in names))
     bucket = F.array(*(F.lit(k << 32).cast("long").bitwiseOR(F.col(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for k, b in enumerate(names)))
     rows = distinct.select(F.xxhash64("digest").alias("node"), F.explode(bucket).alias("bucket"), F.lit(True).alias("home"))
-    dealt = split_hot(rows).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    crowded = dealt.select("bucket", "part", "node", "home").mapInArrow(_crowded, "bucket long, part int, node long, home boolean")
+    crowded = dealt(rows).select("bucket", "part", "node", "home").mapInArrow(_crowded, "bucket long, part int, node long, home boolean")
     crowded = materialise(crowded, "crowded")
     pairs = F.col("part") == PAIR
     members = crowded.where(~pairs).unionByName(crowded.where(pairs).distinct())
@@ -322,9 +321,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     discard(lines, links, decisions)
     docs = docs.drop("n_lines", "n_dropped")
     names = list(docs.columns)
-    # Each row travels as one value, so its column names cannot clash with those of the join.
+    # Each row travels as one value, so its column names cannot clash with those of the join; texts need no sorting for it.
     whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("w_doc"))
     fresh = next(n for n in ("gone", *(f"gone_{k}" for k in range(len(names)))) if n not in names)
-    joined = whole.join(gone, F.col("w_doc").eqNullSafe(F.col("g_doc")), "left").select("row", "g_digests").select("row.*", F.col("g_digests").alias(fresh))
+    joined = whole.join(gone.hint("shuffle_hash"), F.col("w_doc").eqNullSafe(F.col("g_doc")), "left").select("row", "g_digests").select("row.*", F.col("g_digests").alias(fresh))
     schema = docs.select("*").schema.add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(_rebuild(names), schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.buckets import bucket_links, by_key, split_hot
+from panelspark.llm.buckets import bucket_links, by_key, dealt
 from panelspark.llm.common import materialise, modest_batches, rows_of, text_or_empty
 from panelspark.llm.components import connected_components
 
@@ -171,8 +171,7 @@ def near_links(points: DataFrame, plan: tuple[Part, ...], distance: int = DISTAN
         raise ValueError("the parts' thresholds do not cover the distance")
     rows = points.select("node", "fp").mapInArrow(_replicate(plan), "bucket long, node long, fp long, home boolean")
     rows = materialise(rows, "anchors")
-    dealt = split_hot(rows).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return dealt.select("bucket", "part", "node", "fp", "home").mapInArrow(_compare(distance), "a long, b long")
+    return dealt(rows).select("bucket", "part", "node", "fp", "home").mapInArrow(_compare(distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, plan: tuple[Part, ...] | None = None) -> DataFrame:
