@@ -401,7 +401,7 @@ def test_every_anchor_in_reach_is_taken():
 
 def test_hot_buckets_lose_nothing(spark, monkeypatch):
     rng = random.Random(3)
-    monkeypatch.setattr(buckets.split_hot, "__defaults__", (20,))
+    monkeypatch.setattr(buckets.dealt, "__defaults__", (20,))
     monkeypatch.setattr(buckets, "ESTIMATE", 1)
     centre = rng.getrandbits(64)
     prints = [centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(400)]
