@@ -26,9 +26,9 @@ BROADCAST_ROWS = 200_000
 
 
 def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """rows (bucket, node, home, ...) with part, dealt by key and sorted by it in each partition.
+    """rows (bucket, node, home, ...) dealt by key and sorted by it in each partition.
 
-    Keys (bucket, part) hold about two blocks at most.
+    The key is the bucket; if any bucket is hot it is (bucket, part), and keys hold about two blocks at most.
 
     Rows of a hot bucket go to every pair of blocks where they are needed; home then says on which side they stand. Sizes
     are estimated from one node in ESTIMATE; an estimate only chooses the number of blocks, never whether rows meet.
@@ -38,7 +38,7 @@ def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = F.ceil(F.col("h_rows") * ESTIMATE / block).cast("int").alias("h_blocks")
     hot = sizes.where(F.col("h_rows") * ESTIMATE > block).select("h_bucket", blocks)
     if hot.isEmpty():
-        return rows.repartition("bucket").sortWithinPartitions("bucket").withColumn("part", F.lit(0))
+        return rows.repartition("bucket").sortWithinPartitions("bucket")
     rows = rows.join(broadcast_below(hot, BROADCAST_ROWS), F.col("bucket") == F.col("h_bucket"), "left")
     own = F.pmod(F.xxhash64("node"), F.col("h_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("h_blocks") - 1)
@@ -119,12 +119,15 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def by_key(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole keys (bucket, part) of a partition sorted by key, many at a time, with each key's first row."""
+    """Whole keys (bucket, or bucket and part) of a partition sorted by key, many at a time, with each key's first row."""
     held: list[pa.RecordBatch] = []
 
     def cut(table: pa.Table) -> np.ndarray:
-        bucket, part = (table.column(c).to_numpy() for c in ("bucket", "part"))
-        change = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
+        bucket = table.column("bucket").to_numpy()
+        change = bucket[1:] != bucket[:-1]
+        if "part" in table.column_names:
+            part = table.column("part").to_numpy()
+            change |= part[1:] != part[:-1]
         return np.concatenate([[0], np.flatnonzero(change) + 1]) if len(bucket) else np.zeros(0, np.int64)
 
     for batch in batches:

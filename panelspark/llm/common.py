@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -46,11 +47,24 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def number_batches(spark: SparkSession, rows: int = 50_000) -> Iterator[None]:
+    """For jobs run inside: rows of a few numbers go to Python in larger batches than texts do."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def modest_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Texts are long: this session hands Python at most so many rows at a time (less, if it is set lower)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+    if int(spark.conf.get(_BATCH)) > rows:
+        spark.conf.set(_BATCH, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.buckets import bucket_links, by_key, dealt
-from panelspark.llm.common import broadcast_below, discard, materialise, modest_batches, rows_of
+from panelspark.llm.common import broadcast_below, discard, materialise, modest_batches, number_batches, rows_of
 from panelspark.llm.components import connected_components
 
 SHINGLE, SIMILARITY, MIN_CHARS = 7, 0.8, 20
@@ -158,7 +158,10 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pair that meets in many bands is one key."""
     for table, starts in by_key(batches, 200_000):
         sizes = np.diff(starts)
-        bucket, part, node, home = (table.column(c).to_numpy().copy() for c in ("bucket", "part", "node", "home"))
+        bucket, node = (table.column(c).to_numpy().copy() for c in ("bucket", "node"))
+        split = "part" in table.column_names
+        part = table.column("part").to_numpy().copy() if split else np.zeros(len(node), dtype=np.int32)
+        home = table.column("home").to_numpy().copy() if split else np.ones(len(node), dtype=bool)
         first = starts[:-1][sizes == 2]
         a, b = node[first].view(np.uint64), node[first + 1].view(np.uint64)
         pair = _mix(np.minimum(a, b) * np.uint64(_FACTOR) + _mix(np.maximum(a, b))).view(np.int64)
@@ -247,8 +250,10 @@ def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     distinct = lines.groupBy("digest").agg(*(F.min(b).alias(b) for b in names))
     bucket = F.array(*(F.lit(k << 32).cast("long").bitwiseOR(F.col(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for k, b in enumerate(names)))
     rows = distinct.select(F.xxhash64("digest").alias("node"), F.explode(bucket).alias("bucket"), F.lit(True).alias("home"))
-    crowded = dealt(rows).select("bucket", "part", "node", "home").mapInArrow(_crowded, "bucket long, part int, node long, home boolean")
-    crowded = materialise(crowded, "crowded")
+    rows = dealt(rows)
+    crowded = rows.select("bucket", "node", *(("part", "home") if "part" in rows.columns else ())).mapInArrow(_crowded, "bucket long, part int, node long, home boolean")
+    with number_batches(lines.sparkSession):
+        crowded = materialise(crowded, "crowded")
     pairs = F.col("part") == PAIR
     members = crowded.where(~pairs).unionByName(crowded.where(pairs).distinct())
     # Nodes only say which lines' texts are fetched; should two lines share one, both are fetched and compared.

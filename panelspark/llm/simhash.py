@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.buckets import bucket_links, by_key, dealt
-from panelspark.llm.common import materialise, modest_batches, rows_of, text_or_empty
+from panelspark.llm.common import materialise, modest_batches, number_batches, rows_of, text_or_empty
 from panelspark.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -171,7 +171,8 @@ def near_links(points: DataFrame, plan: tuple[Part, ...], distance: int = DISTAN
         raise ValueError("the parts' thresholds do not cover the distance")
     rows = points.select("node", "fp").mapInArrow(_replicate(plan), "bucket long, node long, fp long, home boolean")
     rows = materialise(rows, "anchors")
-    return dealt(rows).select("bucket", "part", "node", "fp", "home").mapInArrow(_compare(distance), "a long, b long")
+    rows = dealt(rows)
+    return rows.select("bucket", *(c for c in rows.columns if c == "part"), "node", "fp", "home").mapInArrow(_compare(distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, plan: tuple[Part, ...] | None = None) -> DataFrame:
@@ -181,7 +182,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
     named = points.where("node IS NOT NULL")
     plan = plan or choose_plan(named.count())
-    parts = connected_components(near_links(named, plan, distance))
+    with number_batches(docs.sparkSession):
+        links = materialise(near_links(named, plan, distance), "links")
+    parts = connected_components(links)
     points = points.join(parts, "node", "left").select(F.col("fp").alias("p_fp"), F.coalesce("component", "node").alias("component_id"))
     found = prints.join(points, prints["fp"] == points["p_fp"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
