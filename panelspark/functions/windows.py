@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.sources.bars import series, trailing
+from panelspark.sources.bars import series, so_far, trailing
 
 LOOKBACKS = (21, 42, 63, 126)
 GENERIC_LOOKBACKS = (63, 126)
@@ -31,6 +31,19 @@ def full(expr: Column, bars: int) -> Column:
     return F.when(F.col("i") >= bars - 1, expr)
 
 
+def running(bars: DataFrame, **terms: Column) -> DataFrame:
+    """Adds run_<name>, each term's sum over all bars so far. A window's sum is then a difference of two rows, whatever its
+    length; sums of whole numbers and of decimals stay exact. Those that no feature reads are pruned."""
+    return bars.withColumns({f"run_{n}": F.sum(t).over(so_far()) for n, t in terms.items()})
+
+
+def window_sum(name: str, n: int, lag: int = 0) -> Column:
+    """Sum of a running term over the n bars that end lag bars back."""
+    at = lambda k: F.lag(f"run_{name}", k).over(series()) if k else F.col(f"run_{name}")
+    before = F.lag(f"run_{name}", n + lag).over(series())
+    return at(lag) - F.coalesce(before, F.lit(0))
+
+
 def prepare(bars: DataFrame) -> DataFrame:
     """Adds what features share: bar index i, previous close pc, true range tr, log return r, change dr, range rng."""
     bars = bars.withColumns({"i": F.row_number().over(series()) - 1, "pc": F.lag("close").over(series())})
@@ -38,7 +51,9 @@ def prepare(bars: DataFrame) -> DataFrame:
     r = F.when((F.col("pc") > 0) & (F.col("close") > 0), F.log(F.col("close") / F.when(F.col("pc") > 0, F.col("pc"))))
     rng = F.col("high") - F.col("low")
     clv = F.when(rng > 0, ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / F.when(rng > 0, rng)).otherwise(0.0)
-    return bars.withColumns({"tr": tr, "r": r, "dr": F.col("close") - F.col("pc"), "rng": rng, "clv": clv})
+    bars = bars.withColumns({"tr": tr, "r": r, "dr": F.col("close") - F.col("pc"), "rng": rng, "clv": clv})
+    up, down = (F.when(test, F.col("volume")).otherwise(0.0) for test in (F.col("dr") > 0, F.col("dr") < 0))
+    return running(bars, v=F.col("volume"), vx=F.col("volume") * F.col("i"), up=up, down=down, flow=F.col("clv") * F.col("volume"))
 
 
 def true_range() -> Column:
@@ -76,11 +91,11 @@ def volatility(lookbacks=LOOKBACKS) -> dict[str, Column]:
     return out
 
 
-def _slope(y: Column, window, n: int) -> Column:
-    """Least-squares slope of y on the bar index from plain sums over a full window of n bars."""
-    x = F.col("i").cast("long")
-    sx, sxx = F.sum(x).over(window), F.sum(x * x).over(window)
-    sy, sxy = F.sum(y).over(window).cast("double"), F.sum(y * x).over(window).cast("double")
+def _slope(y: str, xy: str, n: int) -> Column:
+    """Least-squares slope on the bar index over a full window of n bars, from running sums of y and of y times the index."""
+    i = F.col("i").cast("long")
+    sx, sxx = n * i - n * (n - 1) // 2, n * i * i - i * (n * (n - 1)) + (n - 1) * n * (2 * n - 1) // 6
+    sy, sxy = window_sum(y, n).cast("double"), window_sum(xy, n).cast("double")
     return (n * sxy - sx * sy) / (n * sxx - sx * sx)
 
 
@@ -89,15 +104,16 @@ def volume(lookbacks=LOOKBACKS) -> dict[str, Column]:
     up, down = F.when(F.col("dr") > 0, F.col("volume")), F.when(F.col("dr") < 0, F.col("volume"))
     for n in lookbacks:
         w = trailing(n - 1)
-        mean = F.avg("volume").over(w)
-        out[f"vol_ratio_{n}"] = full(safe_div(mean, F.avg("volume").over(trailing(2 * n - 1, n))), 2 * n)
+        total = window_sum("v", n)
+        mean = total / n
+        out[f"vol_ratio_{n}"] = full(safe_div(mean, window_sum("v", n, n) / n), 2 * n)
         out[f"vol_surge_{n}"] = full(safe_div(F.col("volume"), mean), n)
-        out[f"vol_trend_{n}"] = full(safe_div(_slope(F.col("volume"), w, n), mean), n)
-        ups, downs = F.coalesce(F.sum(up).over(w), F.lit(0.0)), F.coalesce(F.sum(down).over(w), F.lit(0.0))
+        out[f"vol_trend_{n}"] = full(safe_div(_slope("v", "vx", n), mean), n)
+        ups, downs = window_sum("up", n), window_sum("down", n)
         out[f"updown_vol_{n}"] = full(safe_div(ups, downs), n + 1)
-        out[f"accum_vol_share_{n}"] = full(safe_div(ups, F.sum("volume").over(w)), n + 1)
+        out[f"accum_vol_share_{n}"] = full(safe_div(ups, total), n + 1)
         out[f"up_vs_down_vol_extreme_{n}"] = full(safe_div(F.max(up).over(w), F.max(down).over(w)), n + 1)
-        out[f"cmf_{n}"] = _r(full(safe_div(F.sum(F.col("clv") * F.col("volume")).over(w), F.sum("volume").over(w)), n))
+        out[f"cmf_{n}"] = _r(full(safe_div(window_sum("flow", n), total), n))
     return out
 
 
@@ -111,11 +127,10 @@ def _share_below_median(values: Column, n: int) -> Column:
     return F.transform(F.array(F.array_sort(values)), of)[0]
 
 
-def _cumulated_range(values: Column, mean: Column) -> Column:
-    """The range of cumulated deviations: a fold that carries the sum and its extremes."""
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(-1e300).alias("hi"), F.lit(1e300).alias("lo"))
-    step = lambda a, x: F.struct((a["s"] + x - mean).alias("s"), F.greatest(a["hi"], a["s"] + x - mean).alias("hi"), F.least(a["lo"], a["s"] + x - mean).alias("lo"))
-    return F.aggregate(values, start, step, lambda a: a["hi"] - a["lo"])
+def _cumulated_range(sums: Column, mean: Column) -> Column:
+    """The range of cumulated deviations from the mean, from a window's running sums."""
+    deviations = F.transform(sums, lambda x, k: x - k * mean)
+    return F.transform(F.array(deviations), lambda d: F.array_max(d) - F.array_min(d))[0]
 
 
 def tightness(lookbacks=LOOKBACKS) -> dict[str, Column]:
@@ -134,34 +149,37 @@ def averages() -> dict[str, Column]:
     return out
 
 
-def relative_strength(lookbacks=LOOKBACKS, line: str = "bench_close") -> dict[str, Column]:
-    """Against a benchmark column; a window with a missing benchmark has no slope and no high."""
+def with_line(bars: DataFrame, line: str, name: str) -> DataFrame:
+    """Adds the running sums of close over a line, as decimals, that relative strength needs."""
+    exact = (F.col("close") / F.when(F.col(line) > 0, F.col(line))).cast("decimal(18,9)")
+    rows = running(bars, **{name: exact, f"{name}_x": exact * F.col("i").cast("decimal(10,0)"), f"{name}_n": F.when(exact.isNotNull(), 1).otherwise(0)})
+    return rows.withColumns({f"run_{c}": F.col(f"run_{c}").cast("decimal(30,9)") for c in (name, f"{name}_x")})  # room to subtract
+
+
+def relative_strength(lookbacks=LOOKBACKS, line: str = "bench_close", name: str = "rs") -> dict[str, Column]:
+    """Against a benchmark column; a window with a missing benchmark has no slope and no high. Bars come from with_line()."""
     out = {}
     bench = F.when(F.col(line) > 0, F.col(line))
     rs = F.col("close") / bench
-    exact = rs.cast("decimal(18,9)")
     for n in lookbacks:
-        w = trailing(n - 1)
         back, back_line = F.lag("close", n).over(series()), F.lag(line, n).over(series())
         own = F.col("close") / F.when(back > 0, back)
         out[f"rel_strength_{n}"] = _r(own / (bench / F.when(back_line > 0, back_line)) - 1)
-        whole = F.count(rs).over(w) == n
-        mean = F.sum(exact).over(w).cast("double") / n
-        out[f"rs_line_slope_{n}"] = _r(full(F.when(whole, safe_div(_slope(exact, w, n), F.abs(mean))), n))
-        out[f"rs_at_high_{n}"] = _r(full(F.when(whole, rs / F.max(rs).over(w)), n))
+        whole = window_sum(f"{name}_n", n) == n
+        mean = window_sum(name, n).cast("double") / n
+        out[f"rs_line_slope_{n}"] = _r(full(F.when(whole, safe_div(_slope(name, f"{name}_x", n), F.abs(mean))), n))
+        out[f"rs_at_high_{n}"] = _r(full(F.when(whole, rs / F.max(rs).over(trailing(n - 1))), n))
     return out
 
 
 def group_strength(lookbacks=GROUP_LOOKBACKS) -> dict[str, Column]:
-    """Entity against sector_close, and sector_close against bench_close."""
+    """Entity against sector_close, and sector_close against bench_close. Bars come from with_line(.., "sector_close", "sec")."""
     out = {}
     ratio = lambda a, b, n: (F.col(a) / F.lag(a, n).over(series())) / (F.col(b) / F.lag(b, n).over(series())) - 1
-    exact = (F.col("close") / F.col("sector_close")).cast("decimal(18,9)")
     for n in lookbacks:
-        w = trailing(n - 1)
         out[f"sector_rs_{n}"] = _r(ratio("close", "sector_close", n))
-        mean = F.sum(exact).over(w).cast("double") / n
-        out[f"sector_rs_slope_{n}"] = _r(full(F.when(F.count(exact).over(w) == n, safe_div(_slope(exact, w, n), F.abs(mean))), n))
+        mean = window_sum("sec", n).cast("double") / n
+        out[f"sector_rs_slope_{n}"] = _r(full(F.when(window_sum("sec_n", n) == n, safe_div(_slope("sec", "sec_x", n), F.abs(mean))), n))
         out[f"group_strength_{n}"] = _r(ratio("sector_close", "bench_close", n))
     return out
 
@@ -180,7 +198,8 @@ def prepare_generic(bars: DataFrame) -> DataFrame:
     flip = F.when(F.signum("r") != F.signum("r1"), 1.0).when(F.col("r1").isNotNull(), 0.0)
     code = lambda a, b: F.when(F.col(a) <= F.col(b), 1).otherwise(0)
     pattern = F.when(F.col("c2").isNotNull(), 4 * code("c2", "c1") + 2 * code("c1", "close") + code("c2", "close"))
-    return bars.withColumns({"flip": flip, "pattern": pattern})
+    bars = bars.withColumns({"flip": flip, "pattern": pattern})
+    return running(bars, **{f"pattern{p}": F.when(F.col("pattern") == p, 1).otherwise(0) for p in range(8)}, r=F.coalesce("r", F.lit(0.0)))
 
 
 def generic(lookbacks=GENERIC_LOOKBACKS) -> dict[str, Column]:
@@ -193,11 +212,10 @@ def generic(lookbacks=GENERIC_LOOKBACKS) -> dict[str, Column]:
         out[f"ret_skew_{n}"] = _r(full(F.when(moves, F.skewness("r").over(w)), n))
         out[f"ret_kurt_{n}"] = _r(full(F.when(moves, F.kurtosis("r").over(w)), n))
         out[f"zero_cross_{n}"] = _r(full(F.when(moves, F.avg("flip").over(trailing(n - 3))), n))
-        patterns = trailing(n - 3)
-        shares = [F.count(F.when(F.col("pattern") == p, 1)).over(patterns) / F.lit(n - 2) for p in (0, 1, 2, 3, 4, 5, 6, 7)]
+        shares = [window_sum(f"pattern{p}", n - 2) / F.lit(n - 2) for p in range(8)]
         entropy = sum((F.when(s > 0, -s * F.log(s)).otherwise(0.0) for s in shares[1:]), F.when(shares[0] > 0, -shares[0] * F.log(shares[0])).otherwise(0.0))
         out[f"perm_entropy_{n}"] = _r(full(entropy / F.log(F.lit(6.0)), n))
-        spread = _cumulated_range(F.collect_list("r").over(w), F.avg("r").over(w))
+        spread = _cumulated_range(F.collect_list("run_r").over(w), F.avg("r").over(w))
         sd = F.stddev_pop("r").over(w)
         out[f"hurst_{n}"] = _r(full(F.when((sd > 1e-12) & (spread > 1e-12), F.log(spread / F.when(sd > 1e-12, sd)) / F.log(F.lit(float(n - 1)))), n))
     return out

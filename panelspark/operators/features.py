@@ -45,14 +45,14 @@ def assert_no_outcomes(df: DataFrame, allowed: frozenset[str] = frozenset()) ->
 
 def with_benchmark(bars: DataFrame) -> DataFrame:
     """Bars with bench_close; one row a date, so the benchmark side stays small and AQE broadcasts it."""
-    return wf.prepare(bars).join(benchmark(bars), "date", "left")
+    return wf.with_line(wf.prepare(bars).join(benchmark(bars), "date", "left"), "bench_close", "rs")
 
 
 def with_sectors(bars: DataFrame, dims: DataFrame) -> DataFrame:
     bars = bars.join(dims.select(KEY, "sector"), KEY)
     mean = F.sum(F.col("close").cast("decimal(18,4)")).cast("double") / F.count("*")
     sectors = bars.groupBy("sector", "date").agg(mean.alias("sector_close"))
-    return wf.prepare(bars).join(sectors, ["sector", "date"], "left").join(benchmark(bars), "date", "left")
+    return wf.with_line(wf.prepare(bars).join(sectors, ["sector", "date"], "left").join(benchmark(bars), "date", "left"), "sector_close", "sec")
 
 
 def feature_frame(bars: DataFrame, lookbacks=wf.LOOKBACKS, include_generic: bool = True, exclude: frozenset[str] = frozenset()) -> DataFrame:
