@@ -184,12 +184,18 @@ def group_strength(lookbacks=GROUP_LOOKBACKS) -> dict[str, Column]:
     return out
 
 
-def _lag_correlation(x: str, prior: str, window) -> Column:
-    """Pearson of a series with its lag over pairs; null where either is constant."""
-    both = F.when(F.col(x).isNotNull() & F.col(prior).isNotNull(), 1)
-    a, b = F.when(both == 1, F.col(x)), F.when(both == 1, F.col(prior))
-    spread = F.stddev_pop(a).over(window) * F.stddev_pop(b).over(window)
-    return F.covar_pop(a, b).over(window) / F.when(spread > 1e-12, spread)
+def _lag_correlation(name: str, n: int) -> Column:
+    """Pearson of a series with its lag over the pairs of n bars, from running sums; null where either is constant."""
+    c = window_sum(f"{name}_pairs", n)
+    mean = lambda term: window_sum(f"{name}_{term}", n) / F.when(c > 0, c)
+    spread = (mean("aa") - mean("a") * mean("a")) * (mean("bb") - mean("b") * mean("b"))
+    return (mean("ab") - mean("a") * mean("b")) / F.when(spread > 1e-24, F.sqrt(F.when(spread > 1e-24, spread)))
+
+
+def _pairs(name: str, x: str, prior: str) -> dict[str, Column]:
+    both = F.col(x).isNotNull() & F.col(prior).isNotNull()
+    a, b = F.when(both, F.col(x)).otherwise(0.0), F.when(both, F.col(prior)).otherwise(0.0)
+    return {f"{name}_pairs": F.when(both, 1).otherwise(0), f"{name}_a": a, f"{name}_b": b, f"{name}_aa": a * a, f"{name}_bb": b * b, f"{name}_ab": a * b}
 
 
 def prepare_generic(bars: DataFrame) -> DataFrame:
@@ -199,25 +205,29 @@ def prepare_generic(bars: DataFrame) -> DataFrame:
     code = lambda a, b: F.when(F.col(a) <= F.col(b), 1).otherwise(0)
     pattern = F.when(F.col("c2").isNotNull(), 4 * code("c2", "c1") + 2 * code("c1", "close") + code("c2", "close"))
     bars = bars.withColumns({"flip": flip, "pattern": pattern})
-    return running(bars, **{f"pattern{p}": F.when(F.col("pattern") == p, 1).otherwise(0) for p in range(8)}, r=F.coalesce("r", F.lit(0.0)))
+    r = F.coalesce("r", F.lit(0.0))
+    return running(bars, **{f"pattern{p}": F.when(F.col("pattern") == p, 1).otherwise(0) for p in range(8)}, **_pairs("rr", "r", "r1"), **_pairs("vv", "volume", "v1"), r=r, r2=r * r, r3=r * r * r, r4=r * r * r * r, r_n=F.when(F.col("r").isNotNull(), 1).otherwise(0), flip=F.coalesce("flip", F.lit(0.0)))
 
 
 def generic(lookbacks=GENERIC_LOOKBACKS) -> dict[str, Column]:
     out = {}
     for n in lookbacks:
         w = trailing(n - 2)
-        moves = F.stddev_pop("r").over(w) > 1e-12
-        out[f"ret_autocorr1_{n}"] = _r(full(_lag_correlation("r", "r1", trailing(n - 3)), n))
-        out[f"vol_autocorr1_{n}"] = _r(full(_lag_correlation("volume", "v1", w), n))
-        out[f"ret_skew_{n}"] = _r(full(F.when(moves, F.skewness("r").over(w)), n))
-        out[f"ret_kurt_{n}"] = _r(full(F.when(moves, F.kurtosis("r").over(w)), n))
-        out[f"zero_cross_{n}"] = _r(full(F.when(moves, F.avg("flip").over(trailing(n - 3))), n))
+        c = window_sum("r_n", n - 1)
+        m1, m2, m3, m4 = (window_sum(k, n - 1) / F.when(c > 0, c) for k in ("r", "r2", "r3", "r4"))
+        var = m2 - m1 * m1
+        var = F.when(var > 1e-18, var)
+        out[f"ret_autocorr1_{n}"] = _r(full(_lag_correlation("rr", n - 2), n))
+        out[f"vol_autocorr1_{n}"] = _r(full(_lag_correlation("vv", n - 1), n))
+        out[f"ret_skew_{n}"] = _r(full((m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / (var * F.sqrt(var)), n))
+        out[f"ret_kurt_{n}"] = _r(full((m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / (var * var) - 3, n))
+        out[f"zero_cross_{n}"] = _r(full(F.when(var.isNotNull(), window_sum("flip", n - 2) / (n - 2)), n))
         shares = [window_sum(f"pattern{p}", n - 2) / F.lit(n - 2) for p in range(8)]
         entropy = sum((F.when(s > 0, -s * F.log(s)).otherwise(0.0) for s in shares[1:]), F.when(shares[0] > 0, -shares[0] * F.log(shares[0])).otherwise(0.0))
         out[f"perm_entropy_{n}"] = _r(full(entropy / F.log(F.lit(6.0)), n))
-        spread = _cumulated_range(F.collect_list("run_r").over(w), F.avg("r").over(w))
-        sd = F.stddev_pop("r").over(w)
-        out[f"hurst_{n}"] = _r(full(F.when((sd > 1e-12) & (spread > 1e-12), F.log(spread / F.when(sd > 1e-12, sd)) / F.log(F.lit(float(n - 1)))), n))
+        spread = _cumulated_range(F.collect_list("run_r").over(w), m1)
+        sd = F.sqrt(var)
+        out[f"hurst_{n}"] = _r(full(F.when(spread > 1e-12, F.log(spread / sd) / F.log(F.lit(float(n - 1)))), n))
     return out
 
 
