@@ -714,13 +714,15 @@ ORACLES |= streams_sql.oracles()
 
 @query
 def pilot_allocation(spark, sf_dir):
-    cells = src.dimensions(spark, sf_dir).groupBy("region", "is_delisted").agg(F.count("*").alias("n"))
-    return pilot.proportional_allocation(cells, 8, ["region", "is_delisted"])
+    dims = src.dimensions(spark, sf_dir)
+    cells = dims.groupBy("region", "is_delisted").agg(F.count("*").alias("n"))
+    return pilot.proportional_allocation(cells, dims.count() // 5, ["region", "is_delisted"])
 
 
 @query
 def pilot_sample(spark, sf_dir):
-    return pilot.stratified_sample(src.dimensions(spark, sf_dir), ["region", "is_delisted"], 8)
+    dims = src.dimensions(spark, sf_dir)
+    return pilot.stratified_sample(dims, ["region", "is_delisted"], dims.count() // 5)
 
 
 @query

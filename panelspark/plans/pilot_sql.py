@@ -12,13 +12,13 @@ SWINGS = SWING.replace("steps", "sw_steps").replace("last_step", "sw_last").repl
 
 
 def oracles() -> dict[str, str]:
-    cells = f"WITH {DIMS}, c AS (SELECT region, is_delisted, count(*) AS n FROM dims GROUP BY 1, 2), f AS (SELECT *, least(n, CAST(floor(8 * n / sum(n) OVER ()) AS BIGINT)) AS t, row_number() OVER (ORDER BY n DESC, region DESC, is_delisted DESC) AS place FROM c)"
+    cells = f"WITH {DIMS}, c AS (SELECT region, is_delisted, count(*) AS n FROM dims GROUP BY 1, 2), f AS (SELECT *, least(n, CAST(floor((SELECT count(*) // 5 FROM dims) * n / sum(n) OVER ()) AS BIGINT)) AS t, row_number() OVER (ORDER BY n DESC, region DESC, is_delisted DESC) AS place FROM c)"
     capture = f"""
     dc0 AS (SELECT bars.*, bench_close AS b, bench_close / lag(bench_close, 21) OVER ({W}) - 1 AS br, close / lag(close, 21) OVER ({W}) - 1 AS cr, row_number() OVER ({W}) - 1 AS i FROM bars JOIN bench USING (date)),
     dc1 AS (SELECT *, CASE WHEN i >= 63 THEN min(br) OVER ({W} ROWS BETWEEN 42 PRECEDING AND CURRENT ROW) END AS worst FROM dc0),
     dc2 AS (SELECT a.entity_id, a.date, a.worst, (SELECT arg_min(x.cr, x.i) FROM dc0 x WHERE x.entity_id = a.entity_id AND x.i BETWEEN a.i - 42 AND a.i AND x.br = a.worst) AS cr FROM dc1 a)"""
     return {
-        "pilot_allocation": f"{cells} SELECT region, is_delisted, n, CAST(CASE WHEN place = 1 THEN t + 8 - sum(t) OVER () ELSE t END AS BIGINT) AS take FROM f",
+        "pilot_allocation": f"{cells} SELECT region, is_delisted, n, CAST(CASE WHEN place = 1 THEN t + (SELECT count(*) // 5 FROM dims) - sum(t) OVER () ELSE t END AS BIGINT) AS take FROM f",
         "reverse_splits": f"{with_bars()}, a AS (SELECT entity_id, date, 1 / (CASE WHEN entity_id % 2 = 0 AND date < DATE '1998-01-01' THEN 0.5 ELSE 1.0 END) AS f FROM bars) SELECT DISTINCT entity_id FROM (SELECT entity_id, lag(f) OVER ({W}) / f AS q FROM a) WHERE q >= 1.5",
         "first_eligible_families": f"""{with_bars(MEMBER, INTERVALS)}, fe AS (SELECT entity_id, min(date) AS first_date FROM bars WHERE volume > 100 GROUP BY 1),
             m AS (SELECT f.entity_id, first_date, count(i.entity_id) AS n FROM fe f LEFT JOIN intervals i ON i.entity_id = f.entity_id AND i.from_date <= first_date AND (i.to_date IS NULL OR i.to_date >= first_date) GROUP BY 1, 2)
