@@ -1,12 +1,12 @@
 """Fuzzy line dedup by MinHash: of all lines that are alike, one stays in one document.
 
-Lines are first counted by a 128-bit digest. Distinct lines get a signature of one-permutation MinHash over character
-shingles; bands of it put alike lines into common buckets; within a bucket the exact Jaccard similarity of the shingle
+Lines that are not blank are first counted by a 128-bit digest, so exact copies of any length go. Distinct lines of at
+least MIN_CHARS characters also get a signature of one-permutation MinHash over character shingles; bands of it put alike lines into common buckets; within a bucket the exact Jaccard similarity of the shingle
 sets decides; distributed union-find joins what is alike. Of each component the line stays that comes first by smallest
 doc_id, in that document, at its first place. Everything else goes, and each text is put together from what is left.
 
-Defined results: a null text stays null; lines of fewer than MIN_CHARS characters (white space at the ends aside) always
-stay; an emptied document stays with an empty text; rows that repeat a doc_id are treated alike; a null doc_id comes
+Defined results: a null text stays null; blank lines always stay; lines of fewer than MIN_CHARS characters (white space at
+the ends aside) are alike only if they are equal; an emptied document stays with an empty text; rows that repeat a doc_id are treated alike; a null doc_id comes
 after all others; every column of the input is kept; an empty table gives an empty result.
 """
 
@@ -40,11 +40,11 @@ def line_digest(line: str) -> bytes:
 
 
 def line_keys(text: str) -> list[tuple[str, bytes | None]]:
-    """(line, digest of its stripped form) for each line; None for lines too short to count."""
+    """(line, digest of its stripped form) for each line; None for blank lines."""
     out = []
     for line in text.split("\n"):
         bare = line.strip()
-        out.append((line, line_digest(bare) if len(bare) >= MIN_CHARS else None))
+        out.append((line, line_digest(bare) if bare else None))
     return out
 
 
@@ -127,7 +127,8 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line of each document, once. Bands are null where this task has lately given the same line's."""
+    """A row for each line of each document, once. Bands are null for lines under MIN_CHARS, and where this task has lately
+    given the same line's."""
     names = ["doc_id", "digest", *(f"b{k}" for k in range(BANDS))]
     given: set[bytes] = set()
     for batch in rows_of(batches, 256):
@@ -139,10 +140,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(digest)
                     ids.append(doc_id)
                     digests.append(digest)
-                    fresh.append(digest not in given)
+                    bare = line.strip()
+                    fresh.append(len(bare) >= MIN_CHARS and digest not in given)
                     if fresh[-1]:
                         given.add(digest)
-                        texts.append(line.strip())
+                        texts.append(bare)
         if ids:
             mask = np.asarray(fresh, dtype=bool)
             bands = np.zeros((len(ids), BANDS), dtype=np.int32)
@@ -177,9 +179,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, texts = [], []
         for text in batch.column("text").to_pylist():
             for line, digest in line_keys(text):
-                if digest is not None:
+                bare = line.strip()
+                if digest is not None and len(bare) >= MIN_CHARS:
                     digests.append(digest)
-                    texts.append(line.strip())
+                    texts.append(bare)
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["digest", "line"])
 
 
@@ -247,7 +250,7 @@ def _verify(similarity: float):
 def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between digests of lines that connect all alike lines which share a bucket."""
     names = [f"b{k}" for k in range(BANDS)]
-    distinct = lines.groupBy("digest").agg(*(F.min(b).alias(b) for b in names))
+    distinct = lines.groupBy("digest").agg(*(F.min(b).alias(b) for b in names)).where("b0 IS NOT NULL")
     bucket = F.array(*(F.lit(k << 32).cast("long").bitwiseOR(F.col(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for k, b in enumerate(names)))
     rows = distinct.select(F.xxhash64("digest").alias("node"), F.explode(bucket).alias("bucket"), F.lit(True).alias("home"))
     rows = dealt(rows)

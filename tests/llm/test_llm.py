@@ -528,6 +528,20 @@ def test_lines_awkward(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_short_copies_go_exactly(spark):
+    """Exact copies of any length go, but blank lines; lines under MIN_CHARS are never alike unless equal."""
+    rows = [(1, "And.\nQui.\n\nÈ.\na line that is long enough to count"), (2, " And. \nOn.\n\nOn.\nThing 1"), (3, "Qui.\nÈ.\nThing 2\nshort but nineteen!"), (None, "On.\nnew\nshort but nineteen!")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "On.\n\nThing 1", 3: "Thing 2\nshort but nineteen!", None: "new"}
+
+
+def test_no_short_copy_is_left(spark):
+    got = [r["text"] for r in queries.op7_line_dedup(spark, SF).collect()]
+    short = Counter(x.strip() for t in got if t for x in t.split("\n") if 0 < len(x.strip()) < lines.MIN_CHARS)
+    before = {x.strip() for r in table(spark, SF, "documents").collect() for x in (r["text"] or "").split("\n") if 0 < len(x.strip()) < lines.MIN_CHARS}
+    assert len(short) > 50 and set(short) == before and max(short.values()) == 1
+
+
 # 8 top k
 
 
