@@ -706,6 +706,12 @@ def feature_matrix_points(spark, sf_dir):
     return features.feature_matrix(src.points(bars, every=20), bars, include_generic=False)
 
 
+@query
+def feature_matrix(spark, sf_dir):
+    bars = src.daily_bars(spark, sf_dir)
+    return features.feature_matrix(src.points(bars), bars)
+
+
 ORACLES |= streams_sql.oracles()
 
 

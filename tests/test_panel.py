@@ -319,3 +319,19 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert all(_same(x, y) for r, q in zip(_plain(got), _plain(want), strict=True) for x, y in zip(r, q, strict=True))
+
+
+def test_whole_feature_matrix(spark):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    got = entry.queries()["feature_matrix"](spark, SF).toPandas().set_index("point_id")
+    some = con.sql(entry.oracle_sql()["feature_matrix_points"]).to_df().set_index("point_id")
+    generic = con.sql(entry.oracle_sql()["features_generic"]).to_df().sort_values(["entity_id", "date"])
+    generic["bar_idx"] = generic.groupby("entity_id").cumcount()
+    generic.index = generic["entity_id"].astype(str) + "-" + generic["bar_idx"].astype(str)
+    assert set(got.index) == {p for p, i in generic["bar_idx"].items() if i >= 252 and (i - 252) % 5 == 0} and len(got) > 3 * len(some)
+    extra = [c for c in generic.columns if c not in ("entity_id", "date", "bar_idx")]
+    assert len(extra) == 14 and set(got.columns) == set(some.columns) | set(extra)
+    assert np.allclose(got.loc[some.index, some.columns].astype(float), some.astype(float), rtol=1e-9, atol=2e-6, equal_nan=True)
+    assert np.allclose(got[extra].astype(float), generic.loc[got.index, extra].astype(float), rtol=1e-9, atol=2e-6, equal_nan=True)
