@@ -335,3 +335,15 @@ def test_whole_feature_matrix(spark):
     assert len(extra) == 14 and set(got.columns) == set(some.columns) | set(extra)
     assert np.allclose(got.loc[some.index, some.columns].astype(float), some.astype(float), rtol=1e-9, atol=2e-6, equal_nan=True)
     assert np.allclose(got[extra].astype(float), generic.loc[got.index, extra].astype(float), rtol=1e-9, atol=2e-6, equal_nan=True)
+
+
+def test_registered_verdicts_rest_on_fifty_runs(spark, monkeypatch):
+    from panelspark.plans import catalog
+
+    seen = {}
+    report = {"real": 0.5, "shuffle_null": {"lo": 0.4, "hi": 0.6}, "shifted_within_entity": 0.5, "passes": False}
+    monkeypatch.setattr(catalog.controls, "cluster_stability", lambda *a, **k: seen.update(k))
+    monkeypatch.setattr(catalog.controls, "control_report", lambda *a, **k: seen.update(k) or report)
+    catalog.QUERIES["kmeans_stability"](spark, SF)
+    catalog.QUERIES["negative_control_report"](spark, SF)
+    assert seen == {"runs": 50, "n_null": 50}
