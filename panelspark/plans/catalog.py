@@ -660,7 +660,7 @@ def era_transfer(spark, sf_dir):
 def monte_carlo(spark, sf_dir):
     line = src.benchmark(src.daily_bars(spark, sf_dir))
     rows = line.select((F.col("bench_close") / F.lag("bench_close").over(src.Window.orderBy("date")) - 1).alias("r"), "date").where("r IS NOT NULL").orderBy("date")
-    return controls.monte_carlo_summary(controls.monte_carlo(spark, [x["r"] for x in rows.limit(10_000).collect()], block=5))
+    return controls.monte_carlo_summary(controls.monte_carlo(spark, [x["r"] for x in rows.collect()], block=5))
 
 
 ORACLES |= discovery_sql.oracles()

@@ -347,3 +347,15 @@ def test_registered_verdicts_rest_on_fifty_runs(spark, monkeypatch):
     catalog.QUERIES["kmeans_stability"](spark, SF)
     catalog.QUERIES["negative_control_report"](spark, SF)
     assert seen == {"runs": 50, "n_null": 50}
+
+
+def test_monte_carlo_draws_from_all_returns(spark, monkeypatch):
+    from panelspark.plans import catalog
+
+    line = spark.range(10_500).selectExpr("date_add(DATE'1980-01-01', CAST(id AS INT)) AS date", "100D + id % 7 AS bench_close")
+    seen = []
+    monkeypatch.setattr(catalog.src, "benchmark", lambda bars: line)
+    monkeypatch.setattr(catalog.controls, "monte_carlo", lambda spark, returns, **k: seen.extend(returns))
+    monkeypatch.setattr(catalog.controls, "monte_carlo_summary", lambda paths: paths)
+    catalog.QUERIES["monte_carlo"](spark, SF)
+    assert len(seen) == 10_499
