@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import lines, mixing, packing, simhash, toxicity
+from panelspark.llm import lines, mixing, packing, simhash, toxicity, word_sets
 from panelspark.llm.common import materialise, table
+from panelspark.llm.components import connected_components
 from panelspark.llm.tokenizer import vocabulary
 
 SEQUENCE = 2048
@@ -30,9 +31,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without a doc_id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = materialise(found.where("doc_id = component_id").select(F.col("doc_id").alias("k_doc")).distinct(), "kept")
+    """Of each group of linked documents the one with the smallest doc_id stays; rows without a doc_id stay. Linked are
+    fingerprints within op6's distance, and texts whose five-word shingles reach a Jaccard similarity of 0.8."""
+    found = materialise(simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"), "near")
+    links = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    parts = connected_components(materialise(links.unionByName(word_sets.word_links(docs.select("doc_id", "text"))), "all-links"))
+    gone = parts.where("node <> component").select("node")
+    kept = materialise(found.select(F.col("doc_id").alias("k_doc")).distinct().join(gone, F.col("k_doc") == F.col("node"), "left_anti"), "kept")
     one = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("k_doc"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 

@@ -677,6 +677,24 @@ def test_stages_by_hand(spark, tmp_path):
     assert packed.where("piece = 0").count() == mixed.count()
 
 
+def test_near_duplicates_by_word_sets(spark):
+    """Texts of five-word Jaccard 0.8 or more go, though their fingerprints differ in more than four bits; others stay."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(120)]
+        texts += [base, base[:60] + ["new", "words"] + base[62:], [*base[:30], "x", *base[30:60], "y", *base[60:90], "z", *base[90:]], base[:60] + [rng.choice(words) for _ in range(60)]]
+    rows = [(k, " ".join(t), "en", "s", len(" ".join(t))) for k, t in enumerate(texts)]
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    prints = [brute_print(r[1]) for r in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    bits = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    root = groups(len(rows), alike + bits)
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC), SF).collect()}
+    assert len(set(alike) - set(bits)) > 20 and got == {k for k in range(len(rows)) if root[k] == k}
+
+
 def test_pipeline_on_awkward_documents(spark):
     docs = awkward(spark, clash=False)
     for name, stage in corpus_pipeline.STAGES:
