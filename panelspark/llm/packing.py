@@ -4,8 +4,9 @@ Documents become token pieces; the plan sees only how many pieces have each leng
 the corpus), places them best-fit, longest first, in whole runs of equal sequences, and yields slots; each piece then takes
 the slot of its rank among the pieces of its length.
 
-Defined results: a null text packs as the empty text (its end token alone); repeated rows are each packed; rows with a null
-doc_id keep it; other columns are ignored; an empty table gives an empty result.
+Defined results: a null text packs as the empty text (its end token alone); a text of more than capacity tokens, however
+long, is cut into pieces, none dropped; repeated rows are each packed; rows with a null doc_id keep it; ties of rank go by
+doc_id, piece and content; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,21 +22,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.llm import tokenizer
-from panelspark.llm.common import broadcast_below, materialise, modest_batches, rows_of, text_or_empty
+from panelspark.llm.common import materialise, modest_batches, rows_of, text_or_empty
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are ranked in so many salted groups, so that a very common length is not one task's work.
 SALTS = 512
-#: So many planned runs (48 bytes each) may be broadcast.
-BROADCAST_ROWS = 200_000
+#: So many planned runs (48 bytes each) may be broadcast; more are joined by length and by steps of so many ranks.
+BROADCAST_ROWS, RANKS = 200_000, 4_096
 
 
-def _pieces(tokenizer_path: str, ranks_path: str | None, end_id: int, capacity: int):
+def _pieces(tokenizer_path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, 256):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(tokenizer.ids(tokenizer_path, text, ranks_path), np.uint32(end_id)).astype("<u4")
+            found = tokenizer.ids(tokenizer_path, batch.column("text").to_pylist())
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for column, value in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
@@ -46,11 +48,11 @@ def _pieces(tokenizer_path: str, ranks_path: str | None, end_id: int, capacity:
     return cut
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """One row for each piece of at most capacity tokens of each document and its end token."""
     modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return docs.mapInArrow(_pieces(tokenizer_path, ranks_path, end_id, capacity), PIECES)
+    return docs.mapInArrow(_pieces(tokenizer_path, end_id, capacity), PIECES)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -107,17 +109,20 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     return ranked.withColumn("rank", F.col("base") + F.col("within")).drop("b_length", "b_salt", "base", "within", "salt")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, tokenizer_path, ranks_path, end_id, capacity), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer_path, end_id, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_slots(histogram, capacity)
     slots = spark.createDataFrame(plan, "s_length long, first_rank long, n long, first_sequence long, offset long")
-    if len(plan) > BROADCAST_ROWS:
-        slots = materialise(slots, "slots")
     ranked = _ranked(pieces)
     at = (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n"))
-    placed = ranked.join(broadcast_below(slots, BROADCAST_ROWS), at)
+    if len(plan) > BROADCAST_ROWS:
+        step = lambda c: F.floor(c / F.lit(RANKS))
+        slots = materialise(slots, "slots").withColumn("s_step", F.explode(F.sequence(step(F.col("first_rank")), step(F.col("first_rank") + F.col("n") - 1))))
+        placed = ranked.join(slots, at & (step(F.col("rank")) == F.col("s_step")))
+    else:
+        placed = ranked.join(F.broadcast(slots), at)
     sequence = (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence, "offset")

@@ -4,7 +4,8 @@ A text's key is the SHA-256 of its content; a tokenizer's key is the SHA-256 of
 in the cache of that tokenizer; only distinct contents that it lacks are encoded, and are then appended to it.
 
 Defined results: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows are each returned; a null doc_id
-is returned as null; other columns of the input are ignored; an empty table gives an empty result.
+is returned as null; texts of any length are counted whole; other columns of the input are ignored; an empty table gives an
+empty result. Two calls that append at once may both count a text: the cache may hold a digest twice, never two counts.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def _cached(spark: SparkSession, path: str) -> DataFrame:
 
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 64):
+        for batch in rows_of(batches, 256):
             n = tokenizer.counts(path, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 

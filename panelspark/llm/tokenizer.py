@@ -1,19 +1,24 @@
-"""Encoders over public tokenizer files, loaded once in each Python worker."""
+"""Encoders over public tokenizer files, loaded once in each Python worker.
+
+A byte-level vocabulary splits texts so that no token spans the place between a character that is not white space and the
+space after it. Texts are cut at those places, distinct pieces are encoded by the library once and remembered, and a text's
+ids are those of its pieces in a row: the library's own ids, special strings (which hold no space) included.
+"""
 
 from __future__ import annotations
 
-import base64
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: The split pattern of the byte-level vocabulary and its one special string.
-BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPECIAL = "<|endoftext|>"
-#: Beyond these code points, or in such long runs, the two libraries could differ; texts that match go to tokenizers.
-_UNSURE = re.compile(r"[^\x00-ɏ‐-‧]|[^\s]{2000}|\s{2000}|" + re.escape(SPECIAL))
+#: Whatever some engine may take for white space; a space that follows one of these is no place to cut.
+_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+_CUT = re.compile(rf" (?<![{_BLANK}] )")
+#: Pieces that a worker remembers, and the longest that it remembers at all.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def vocabulary(name: str) -> str:
@@ -32,36 +37,85 @@ def _json(path: str):
 
 
 @lru_cache(maxsize=4)
-def _pieces(path: str):
+def _model(path: str):
     import sentencepiece
 
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 @lru_cache(maxsize=4)
-def _ranks(path: str):
-    import tiktoken
+def may_cut(path: str) -> bool:
+    """Whether the file's texts may be cut before spaces: byte-level BPE that changes no text and adds no space."""
+    import json
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    special = all(" " not in t["content"] and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in spec.get("added_tokens", []))
+    return bool(plain and special and not spec.get("normalizer") and not spec["model"].get("dropout"))
 
 
-def counts(path: str, texts: list[str]) -> list[int]:
-    """Tokens of each text, without added ones: tokenizers for .json, sentencepiece for .model."""
+def whole_ids(path: str, texts: list[str]) -> list[list[int]]:
+    """The library's ids of each text: tokenizers for .json, sentencepiece for .model; no added tokens."""
     if path.endswith(".model"):
-        return [len(x) for x in _pieces(path).encode(texts, num_threads=1)]
-    return [len(x.ids) for x in _json(path).encode_batch_fast(texts, add_special_tokens=False)]
+        return _model(path).encode(texts, num_threads=1)
+    return [x.ids for x in _json(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def ids(path: str, text: str, ranks: str | None = None) -> np.ndarray:
-    """Token ids of one text as unsigned 32-bit numbers.
+class _Pieces:
+    """Packed ids of pieces that begin with a space (named without it), as far as remembered."""
 
-    ranks names the same byte-level vocabulary as a rank file. Texts of Latin letters, where both libraries split
-    alike, then take the faster encoder; every other text takes the library of the .json file itself.
-    """
-    if ranks and not _UNSURE.search(text):
-        return np.asarray(_ranks(ranks).encode_ordinary(text), dtype="<u4")
-    if path.endswith(".model"):
-        return np.asarray(_pieces(path).encode(text, num_threads=1), dtype="<u4")
-    return np.asarray(_json(path).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def __init__(self, path: str) -> None:
+        self.path, self.known = path, {}
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for x in whole_ids(self.path, texts)]
+
+    def of(self, texts: list[str]) -> tuple[list[bytes], list[list[str]], dict[str, bytes]]:
+        """For each text the ids of its first piece and the names of the pieces after it, and the ids of all these names."""
+        cut = [_CUT.split(t) for t in texts]
+        firsts = self.pack([c.pop(0) for c in cut])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = [n for n in set().union(*cut) if n not in known]
+        if new:
+            found = dict(zip(new, self.pack([f" {n}" for n in new]), strict=True))
+            if any(len(n) > LONGEST for n in new):
+                known.update({n: x for n, x in found.items() if len(n) <= LONGEST})
+                return firsts, cut, _Both(found, known)
+            known.update(found)
+        return firsts, cut, known
+
+
+class _Both(dict):
+    """A batch's own pieces, then the remembered ones."""
+
+    def __init__(self, own: dict, known: dict) -> None:
+        super().__init__(own)
+        self.known = known
+
+    def __missing__(self, name: str) -> bytes:
+        return self.known[name]
+
+
+@lru_cache(maxsize=4)
+def _pieces(path: str) -> _Pieces:
+    return _Pieces(path)
+
+
+def ids(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Token ids of each text as unsigned 32-bit numbers."""
+    if path.endswith(".model") or not may_cut(path):
+        return [np.asarray(x, dtype="<u4") for x in whole_ids(path, texts)]
+    firsts, cut, known = _pieces(path).of(texts)
+    return [np.frombuffer(f + b"".join(map(known.__getitem__, c)), dtype=np.uint32).astype("<u4") for f, c in zip(firsts, cut, strict=True)]
+
+
+def counts(path: str, texts: list[str]) -> list[int]:
+    """Tokens of each text."""
+    if path.endswith(".model") or not may_cut(path):
+        return [len(x) for x in whole_ids(path, texts)]
+    firsts, cut, known = _pieces(path).of(texts)
+    return [(len(f) + sum(map(len, map(known.__getitem__, c)))) // 4 for f, c in zip(firsts, cut, strict=True)]
