@@ -7,8 +7,9 @@ within radius plus threshold; at each anchor, those within the radius are compar
 between different fingerprints is lost, and no anchor is a cap. The parts are wider for larger corpora.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; rows with
-equal fingerprints are one point, so repeated rows and groups of copies cost nothing; a null doc_id takes the component of
-its fingerprint's other rows or null; other columns are ignored; an empty table gives an empty result.
+equal fingerprints are one point, whatever their ids, so repeated rows and groups of copies cost nothing; a row with a null
+doc_id links like any other and reports the smallest doc_id that its component holds (null if it holds none); ties do not
+arise; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,20 +52,21 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(shingle: int, seed: int):
+def _fingerprints(names: list[str], shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            found = np.asarray([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = np.asarray([fingerprint(t, shingle, seed) for t in batch.column(len(names)).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.int64())], [*names, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and fp (the fingerprint's bits as a signed long) of the text of every row of docs."""
     modest_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
+    kept = docs.select(*keep)
+    rows = docs.select(*keep, text_or_empty().alias("fp_text"))
+    return rows.mapInArrow(_fingerprints(list(keep), shingle, seed), kept.schema.add("fp", "long"))
 
 
 class Part(NamedTuple):
@@ -175,16 +177,22 @@ def near_links(points: DataFrame, plan: tuple[Part, ...], distance: int = DISTAN
     return rows.select("bucket", *(c for c in rows.columns if c == "part"), "node", "fp", "home").mapInArrow(_compare(distance), "a long, b long")
 
 
+def linked_fingerprints(points: DataFrame, distance: int = DISTANCE, plan: tuple[Part, ...] | None = None) -> DataFrame:
+    """node (a fingerprint) and component (the smallest one reachable) for each of points (fp, each once) that has a link."""
+    plan = plan or choose_plan(points.count())
+    with number_batches(points.sparkSession):
+        links = materialise(near_links(points.select(F.col("fp").alias("node"), "fp"), plan, distance), "links")
+    return connected_components(links)
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, plan: tuple[Part, ...] | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row of docs."""
-    prints = materialise(fingerprints(docs, shingle, seed), "fingerprints")
-    # Copies fall together map-side; from here on a point is a fingerprint, named by the smallest doc_id that has it.
-    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    named = points.where("node IS NOT NULL")
-    plan = plan or choose_plan(named.count())
-    with number_batches(docs.sparkSession):
-        links = materialise(near_links(named, plan, distance), "links")
-    parts = connected_components(links)
-    points = points.join(parts, "node", "left").select(F.col("fp").alias("p_fp"), F.coalesce("component", "node").alias("component_id"))
+    prints = materialise(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, seed), "fingerprints")
+    # Copies fall together map-side; from here on a point is a fingerprint, ids come back at the end.
+    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
+    parts = linked_fingerprints(points, distance, plan)
+    least = parts.join(points, F.col("node") == F.col("fp")).groupBy(F.col("component").alias("l_component")).agg(F.min("first_id").alias("least_id"))
+    parts = parts.join(least, F.col("component") == F.col("l_component")).select("node", "least_id")
+    points = points.join(parts, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("p_fp"), F.coalesce("least_id", "first_id").alias("component_id"))
     found = prints.join(points, prints["fp"] == points["p_fp"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
