@@ -1,13 +1,16 @@
 """Fuzzy line dedup by MinHash: of all lines that are alike, one stays in one document.
 
 Lines that are not blank are first counted by a 128-bit digest, so exact copies of any length go. Distinct lines of at
-least MIN_CHARS characters also get a signature of one-permutation MinHash over character shingles; bands of it put alike lines into common buckets; within a bucket the exact Jaccard similarity of the shingle
-sets decides; distributed union-find joins what is alike. Of each component the line stays that comes first by smallest
-doc_id, in that document, at its first place. Everything else goes, and each text is put together from what is left.
+least MIN_CHARS characters also get a signature of one-permutation MinHash over character shingles; bands of it put alike
+lines into common buckets; within a bucket the exact Jaccard similarity of the shingle sets decides; distributed union-find
+joins what is alike. Of each component the line stays that comes first by smallest doc_id, in that document, at its first
+place. Everything else goes, and each text is put together from what is left.
 
 Defined results: a null text stays null; blank lines always stay; lines of fewer than MIN_CHARS characters (white space at
-the ends aside) are alike only if they are equal; an emptied document stays with an empty text; rows that repeat a doc_id are treated alike; a null doc_id comes
-after all others; every column of the input is kept; an empty table gives an empty result.
+the ends aside) are alike only if they are equal; an emptied document stays with an empty text. Every row is a document of
+its own: rows that share a doc_id, or have none, are told apart by what they hold, and of rows alike in all that one keeps
+a shared line; rows without a doc_id come after all others. Every column of the input is kept; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.buckets import bucket_links, by_key, dealt
-from panelspark.llm.common import broadcast_below, discard, materialise, modest_batches, number_batches, rows_of
+from panelspark.llm.common import broadcast_below, discard, materialise, modest_batches, number_batches, numbered, rows_of
 from panelspark.llm.components import connected_components
 
 SHINGLE, SIMILARITY, MIN_CHARS = 7, 0.8, 20
@@ -129,16 +132,17 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line of each document, once. Bands are null for lines under MIN_CHARS, and where this task has lately
     given the same line's."""
-    names = ["doc_id", "digest", *(f"b{k}" for k in range(BANDS))]
+    names = ["doc_id", "occ", "digest", *(f"b{k}" for k in range(BANDS))]
     given: set[bytes] = set()
     for batch in rows_of(batches, 256):
-        ids, digests, fresh, texts = [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        ids, occs, digests, fresh, texts = [], [], [], [], []
+        for doc_id, occ, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "occ", "text")), strict=True):
             seen = set()
             for line, digest in line_keys(text):
                 if digest is not None and digest not in seen:
                     seen.add(digest)
                     ids.append(doc_id)
+                    occs.append(occ)
                     digests.append(digest)
                     bare = line.strip()
                     fresh.append(len(bare) >= MIN_CHARS and digest not in given)
@@ -150,7 +154,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = np.zeros((len(ids), BANDS), dtype=np.int32)
             if texts:
                 bands[mask] = band_hashes(signatures(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bands[:, k].copy(), mask=~mask) for k in range(BANDS))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(occs, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bands[:, k].copy(), mask=~mask) for k in range(BANDS))], names)
         if len(given) > 100_000:
             given.clear()
 
@@ -186,26 +190,32 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["digest", "line"])
 
 
-#: Shingle hashes of a batch are kept as (row, 48 bits of the hash) in one sorted array.
-_HASH_BITS = np.uint64(48)
+#: Shingle hashes of a batch are kept as (row, so many bits of the hash) in one sorted array; fewer in a batch of more than 65,535 rows.
+HASH_BITS = 48
 
 
-def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (row, hash) keys of the lines' shingles, and where each row's begin."""
+def row_bits(rows: int) -> int:
+    """Bits left for a hash beside the number of a row."""
+    return min(HASH_BITS, 64 - (rows + 1).bit_length())
+
+
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted distinct (row, hash) keys of the lines' shingles, where each row's begin, and the bits of a hash."""
     h, owner, valid = shingle_hashes(lines)
-    keys = np.sort((owner[valid].astype(np.uint64) << _HASH_BITS) | (h[valid] >> (np.uint64(64) - _HASH_BITS)))
+    bits = row_bits(len(lines))
+    keys = np.sort((owner[valid].astype(np.uint64) << np.uint64(bits)) | (h[valid] >> np.uint64(64 - bits)))
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    return keys, np.searchsorted(keys, np.arange(len(lines) + 1, dtype=np.uint64) << _HASH_BITS)
+    return keys, np.searchsorted(keys, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(bits)), bits
 
 
-def alike(keys: np.ndarray, bounds: np.ndarray, similarity: float, bands: np.ndarray | None = None, band: np.ndarray | None = None):
+def alike(keys: np.ndarray, bounds: np.ndarray, bits: int, similarity: float, bands: np.ndarray | None = None, band: np.ndarray | None = None):
     """near(i, j): the exact Jaccard similarity of rows' shingle sets reaches similarity.
 
     bands has each row's band hashes and band the one whose bucket the row stands in (-1 for a pair's own key): a pair that
     shares an earlier band is compared in that bucket, and left alone here.
     """
     sizes = np.diff(bounds)
-    low = (np.uint64(1) << _HASH_BITS) - np.uint64(1)
+    low = (np.uint64(1) << np.uint64(bits)) - np.uint64(1)
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), dtype=bool)
@@ -224,7 +234,7 @@ def alike(keys: np.ndarray, bounds: np.ndarray, similarity: float, bands: np.nda
         width = sizes[b]
         ends = np.cumsum(width)
         flat = keys[np.arange(int(ends[-1])) - np.repeat(ends - width - bounds[b], width)]
-        asked = (np.repeat(a, width).astype(np.uint64) << _HASH_BITS) | (flat & low)
+        asked = (np.repeat(a, width).astype(np.uint64) << np.uint64(bits)) | (flat & low)
         place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         common = np.add.reduceat((keys[place] == asked).astype(np.int64), ends - width)
         return common >= similarity * (sizes[a] + width - common)
@@ -236,9 +246,9 @@ def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in by_key(batches, 8_000):
             bands = np.stack([table.column(f"b{k}").to_numpy() for k in range(BANDS)], axis=1)
-            keys, bounds = shingle_sets(table.column("line").to_pylist())
+            keys, bounds, bits = shingle_sets(table.column("line").to_pylist())
             band = np.where(table.column("part").to_numpy() == PAIR, -1, table.column("bucket").to_numpy() >> 32)
-            near = alike(keys, bounds, similarity, bands, band)
+            near = alike(keys, bounds, bits, similarity, bands, band)
             label = bucket_links(starts, table.column("home").to_numpy(), near, pairs=64)
             moved = np.flatnonzero(label != np.arange(len(label)))
             digests = table.column("digest").combine_chunks()
@@ -274,19 +284,25 @@ def line_links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     return links
 
 
-def line_decisions(lines: DataFrame, links: DataFrame) -> DataFrame:
-    """d_digest, keep_doc and keeps for each line that has a copy or a like: whether it stays, and in which document."""
-    counted = lines.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+def line_decisions(lines: DataFrame, links: DataFrame, shared_ids: bool) -> DataFrame:
+    """d_digest, keep_doc, keep_occ and keeps for each line that has a copy or a like: whether it stays, and in which document."""
+    if shared_ids:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "occ"))
+        counted = lines.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n"))
+        counted = counted.select("digest", "n", F.col("first")["doc_id"].alias("first_doc"), F.col("first")["occ"].alias("first_occ"))
+    else:
+        counted = lines.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).withColumn("first_occ", F.lit(0).cast("long"))
     parts = connected_components(links)
     named = counted.join(parts, F.col("digest") == F.col("node"), "left").where("n > 1 OR component IS NOT NULL")
-    named = named.select("digest", "first_doc", F.coalesce("component", "digest").alias("component"))
-    first = F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "digest"))["digest"].alias("stays")
+    named = named.select("digest", "first_doc", "first_occ", F.coalesce("component", "digest").alias("component"))
+    first = F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "first_occ", "digest"))["digest"].alias("stays")
     best = named.groupBy(F.col("component").alias("b_component")).agg(first)
     named = named.join(best, F.col("component") == F.col("b_component"))
-    return materialise(named.select(F.col("digest").alias("d_digest"), F.col("first_doc").alias("keep_doc"), (F.col("digest") == F.col("stays")).alias("keeps")), "line-decisions")
+    kept = (F.col("digest") == F.col("stays")).alias("keeps")
+    return materialise(named.select(F.col("digest").alias("d_digest"), F.col("first_doc").alias("keep_doc"), F.col("first_occ").alias("keep_occ"), kept), "line-decisions")
 
 
-def _rebuild(names: list[str]):
+def _rebuild(names: list[str], report: bool):
     at_text, at_gone = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,30 +324,37 @@ def _rebuild(names: list[str]):
                 texts.append(text if len(kept) == n else "\n".join(kept))
                 n_lines.append(n)
                 n_dropped.append(n - len(kept))
-            columns = [*batch.columns[:at_gone], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            columns = list(batch.columns[:at_gone])
             columns[at_text] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"])
+            counts = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if report else []
+            yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, *(("n_lines", "n_dropped") if report else ())])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows and columns of docs, text without the lines that go, and the columns n_lines and n_dropped (in the place of any such)."""
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, report: bool = True) -> DataFrame:
+    """The rows and columns of docs, text without the lines that go, and, for a report, n_lines and n_dropped (in the place of any such)."""
     modest_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = source.where("text IS NOT NULL").mapInArrow(_lines, "doc_id long, digest binary, " + ", ".join(f"b{k} int" for k in range(BANDS)))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    if report:
+        docs = docs.drop("n_lines", "n_dropped")
+    names = list(docs.columns)
+    rows, shared_ids = numbered(docs)
+    source = rows.select(F.col("n_key").alias("doc_id"), F.col("n_occ").alias("occ"), F.col("row")["text"].alias("text"))
+    lines = source.where("text IS NOT NULL").mapInArrow(_lines, "doc_id long, occ long, digest binary, " + ", ".join(f"b{k} int" for k in range(BANDS)))
     lines = materialise(lines, "lines")
     links = line_links(lines, source, similarity)
-    decisions = line_decisions(lines, links)
-    gone = lines.select("doc_id", "digest").join(decisions, F.col("digest") == F.col("d_digest"))
-    gone = gone.where(~(F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("keep_doc"))))
-    gone = materialise(gone.groupBy(F.col("doc_id").alias("g_doc")).agg(F.collect_set("digest").alias("g_digests")), "lines-gone")
+    decisions = line_decisions(lines, links, shared_ids)
+    gone = lines.select("doc_id", "occ", "digest").join(decisions, F.col("digest") == F.col("d_digest"))
+    gone = gone.where(~(F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("occ") == F.col("keep_occ"))))
+    gone = gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("occ").alias("g_occ")).agg(F.collect_set("digest").alias("g_digests"))
+    gone = materialise(gone, "lines-gone")
     discard(lines, links, decisions)
-    docs = docs.drop("n_lines", "n_dropped")
-    names = list(docs.columns)
     # Each row travels as one value, so its column names cannot clash with those of the join; texts need no sorting for it.
-    whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("w_doc"))
     fresh = next(n for n in ("gone", *(f"gone_{k}" for k in range(len(names)))) if n not in names)
-    joined = whole.join(gone.hint("shuffle_hash"), F.col("w_doc").eqNullSafe(F.col("g_doc")), "left").select("row", "g_digests").select("row.*", F.col("g_digests").alias(fresh))
-    schema = docs.select("*").schema.add("n_lines", "long").add("n_dropped", "long")
-    return joined.mapInArrow(_rebuild(names), schema)
+    same = F.col("n_key").eqNullSafe(F.col("g_doc")) & (F.col("n_occ") == F.col("g_occ"))
+    joined = rows.join(gone.hint("shuffle_hash"), same, "left").select("row", "g_digests").select("row.*", F.col("g_digests").alias(fresh))
+    schema = docs.select("*").schema
+    if report:
+        schema = schema.add("n_lines", "long").add("n_dropped", "long")
+    return joined.mapInArrow(_rebuild(names, report), schema)

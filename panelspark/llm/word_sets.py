@@ -1,6 +1,6 @@
 """Links between texts whose sets of five-word shingles are alike: MinHash bands bring them together, the exact Jaccard decides.
 
-Texts of fewer than five words have no shingles and no links; so have rows without a doc_id.
+Texts of fewer than five words have no shingles and no links.
 """
 
 from __future__ import annotations
@@ -15,19 +15,18 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.buckets import bucket_links, by_key, dealt
 from panelspark.llm.common import discard, materialise, modest_batches, number_batches, rows_of
-from panelspark.llm.lines import PAIR, _crowded, _mix, alike
+from panelspark.llm.lines import HASH_BITS, PAIR, _crowded, _mix, alike, row_bits
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
 BANDS, ROWS = 20, 4
 _SALTS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BITS = np.uint64(48)
 
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 48-bit hashes of the text's shingles; words as SimHash splits them."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    found = {xxhash.xxh64_intdigest(b" ".join(words[k : k + SHINGLE])) >> 16 for k in range(len(words) - SHINGLE + 1)}
+    found = {xxhash.xxh64_intdigest(b" ".join(words[k : k + SHINGLE])) >> (64 - HASH_BITS) for k in range(len(words) - SHINGLE + 1)}
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
@@ -56,32 +55,30 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, starts in by_key(batches, 2_000):
-        sets = [shingles(t) for t in table.column("text").to_pylist()]
-        keys = np.concatenate([(np.uint64(k) << _BITS) | s for k, s in enumerate(sets)])
+        bits = row_bits(table.num_rows)
+        sets = [np.unique(shingles(t) >> np.uint64(HASH_BITS - bits)) for t in table.column("text").to_pylist()]
+        keys = np.concatenate([(np.uint64(k) << np.uint64(bits)) | s for k, s in enumerate(sets)])
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        label = bucket_links(starts, table.column("home").to_numpy(), alike(keys, bounds, SIMILARITY), pairs=64)
-        node, moved = table.column("node").to_numpy(), np.flatnonzero(label != np.arange(len(label)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["a", "b"])
-
-
-def word_links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) between doc_ids that connect all alike texts of docs (doc_id, text) which share a band. Equal texts are one point."""
-    modest_batches(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = F.sha2("text", 256)
-    named = materialise(rows.select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("node")), "text-nodes")
-    nodes = named.select("node")
-    texts = rows.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
-    bands = materialise(texts.mapInArrow(_bands, "bucket long, node long, home boolean"), "text-bands")
+        label = bucket_links(starts, table.column("home").to_numpy(), alike(keys, bounds, bits, SIMILARITY), pairs=64)
+        digest, moved = table.column("digest").combine_chunks(), np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([digest.take(pa.array(moved)), digest.take(pa.array(label[moved]))], ["a", "b"])
+
+
+def word_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) between digests that connect all alike texts of texts (digest, text; each digest once) which share a band."""
+    modest_batches(texts.sparkSession)
+    named = texts.select(F.xxhash64("digest").alias("node"), "text")
+    bands = materialise(named.mapInArrow(_bands, "bucket long, node long, home boolean"), "text-bands")
     dealt_rows = dealt(bands)
     crowded = dealt_rows.select("bucket", "node", *(("part", "home") if "part" in dealt_rows.columns else ())).mapInArrow(_crowded, "bucket long, part int, node long, home boolean")
-    with number_batches(docs.sparkSession):
+    with number_batches(texts.sparkSession):
         crowded = materialise(crowded, "text-crowded")
     pairs = F.col("part") == PAIR
     members = crowded.where(~pairs).unionByName(crowded.where(pairs).distinct())
-    members = members.join(texts.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node")).select("bucket", "part", "home", "node", "text")
+    # Nodes only say which texts are fetched; should two texts share one, both are fetched and compared.
+    fetched = texts.select(F.xxhash64("digest").alias("t_node"), "digest", "text")
+    members = members.join(fetched, F.col("node") == F.col("t_node")).select("bucket", "part", "home", "digest", "text")
     members = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    links = materialise(members.mapInArrow(_verify, "a long, b long"), "text-links")
-    discard(named, bands, crowded)
-    # A doc_id whose rows differ in text is one node here; its other texts are linked by SimHash alone.
+    links = materialise(members.mapInArrow(_verify, "a binary, b binary"), "text-links")
+    discard(bands, crowded)
     return links
