@@ -5,8 +5,9 @@ cannot take is shared anew by weight among the others, until none exceeds its ca
 document floor(e) times, and one time more those that come first in a seeded order, up to the fraction that is left.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated rows count and are
-taken one by one; a null doc_id is a key like any other; other columns are kept by mix() and ignored by plan(); an empty
-table gives an empty result. A source of no words takes nothing.
+taken one by one: rows that share a doc_id, or have none, stand in the seeded order by what they hold and their rank among
+rows alike, so no key is taken or left as a whole; other columns are kept by mix() and ignored by plan(); an empty table
+gives an empty result. A source of no words takes nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import broadcast_below, materialise, text_or_empty
+from panelspark.llm.common import broadcast_below, materialise, numbered, text_or_empty
+from panelspark.scratch import in_order
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3.0
@@ -32,8 +34,8 @@ def words(text: Column) -> Column:
 
 def cyclic_weights(sources: DataFrame) -> DataFrame:
     """Weights 1, 2, 3, repeating, in the code point order of sources, null last (sources: one row for each)."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    return sources.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
+    placed = in_order(sources, [F.col("source").isNull(), F.col("source")], name="place")
+    return placed.withColumn("weight", (F.col("place") % 3 + 1).cast("double")).drop("place")
 
 
 def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -56,7 +58,7 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 
 def _key(seed: int) -> Column:
     """A row's place in the seeded order."""
-    return F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id"))
+    return F.xxhash64(F.lit(seed).cast("long"), "n_key", "n_occ")
 
 
 def source_targets(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weights=cyclic_weights) -> DataFrame:
@@ -77,8 +79,9 @@ def _with_times(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return out.withColumn("times", (F.col("c_whole") + F.when(extra, 1).otherwise(0)).cast("int"))
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    sized = docs.select("doc_id", "source", words(text_or_empty()).alias("size"), _key(seed).alias("key"))
+def _sized(rows: DataFrame, seed: int) -> DataFrame:
+    size = words(F.coalesce(F.col("row")["text"].cast("string"), F.lit("")))
+    sized = rows.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["source"].alias("source"), size.alias("size"), _key(seed).alias("key"))
     return materialise(sized, "sizes")
 
 
@@ -124,14 +127,16 @@ def source_cuts(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weights=cyclic
 
 def plan(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = 7, weights=cyclic_weights) -> DataFrame:
     """doc_id, source, size, source_size, target, times: how often the mix takes each row of docs."""
-    sized = _sized(docs, seed)
+    rows, _ = numbered(docs.select("doc_id", "source", "text"), by=("text", "source"))
+    sized = _sized(rows, seed)
     out = _with_times(sized, source_cuts(sized, max_epochs, weights))
     return out.select("doc_id", "source", "size", F.col("c_source_size").alias("source_size"), F.col("c_target").alias("target"), "times")
 
 
 def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = 7, weights=cyclic_weights) -> DataFrame:
     """The rows of docs, all columns kept, each as often as the plan takes it. Texts are not shuffled for few sources."""
-    cuts = source_cuts(_sized(docs, seed), max_epochs, weights)
+    rows, _ = numbered(docs, by=("text", "source"))
+    cuts = source_cuts(_sized(rows, seed), max_epochs, weights)
     # Each row travels as one value, so its column names cannot clash with those of the plan.
-    rows = _with_times(docs.select(F.struct(*docs.columns).alias("row"), "source", _key(seed).alias("key")), cuts)
+    rows = _with_times(rows.select("row", F.col("row")["source"].alias("source"), _key(seed).alias("key")), cuts)
     return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
