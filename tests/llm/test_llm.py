@@ -80,17 +80,17 @@ def test_sentencepiece_counts(spark):
     assert tokenizer.counts(p, ["some words", "", "é漢"]) == [len(s.encode(x)) for x in ("some words", "", "é漢")]
 
 
-def test_fast_encoder_equals_the_library():
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+def test_pieces_give_the_ids_of_the_library():
+    path = vocabulary("byte_bpe_50k.json")
     rng = random.Random(4)
-    pools = ["abc XYZ 019 .,!?'\"-_", "àéîõüßñçøåæ œšž ÀÉ", " \t\n\r\x0b\x0c\x1c\x85\xa0", "''s 't're 've'm 'll'd ½²³ªº", "漢字 кириллица ελλ עברית", "‐‑–—‘’“”†•… "]
-    for _ in range(3000):
-        text = "".join(rng.choice(rng.choice(pools[: rng.randint(1, 6)])) for _ in range(rng.randint(0, 60)))
-        assert tokenizer.ids(vocabulary("byte_bpe_50k.json"), text, vocabulary("byte_bpe_50k.tiktoken")).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
-    for text in ("<|endoftext|>", "a <|endoftext|> b", " " * 5000, "x" * 5000, "x " * 5000):
-        assert tokenizer.ids(vocabulary("byte_bpe_50k.json"), text, vocabulary("byte_bpe_50k.tiktoken")).tolist() == t.encode(text, add_special_tokens=False).ids
+    pools = ["abc XYZ 019 .,!?'\"-_", "àéîõüßñçøåæ œšž ÀÉ", " \t\n\r\x0b\x0c\x1c\x85\xa0", "''s 't're 've'm 'll'd ½²³ªº", "漢字 кириллица ελλ עברית", "‐‑–—‘’“”†•… ", "\u2003\u2028 \u3000\u200b \ufeff\u180e"]
+    texts = ["".join(rng.choice(rng.choice(pools[: rng.randint(1, 7)])) for _ in range(rng.randint(0, 60))) for _ in range(6000)]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", " <|endoftext|>x", " " * 5000, "x" * 5000, "x " * 5000, "", " ", "\n a"]
+    assert tokenizer.may_cut(path)
+    for at in range(0, len(texts), 256):
+        some = texts[at : at + 256]
+        want = tokenizer.whole_ids(path, some)
+        assert [x.tolist() for x in tokenizer.ids(path, some)] == want and tokenizer.counts(path, some) == [len(x) for x in want]
 
 
 # 2 packing
@@ -148,7 +148,7 @@ def test_plan_equals_best_fit_decreasing():
 
 
 def test_packing_awkward(spark):
-    rows = packing.pack(awkward(spark), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")).collect()
+    rows = packing.pack(awkward(spark), vocabulary("byte_bpe_50k.json")).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in awkward(spark).collect())
     seen = defaultdict(list)
     for r in rows:
@@ -211,13 +211,26 @@ def test_mix_awkward(spark):
     docs = awkward(spark)
     out = mixing.mix(docs)
     assert out.columns == docs.columns
-    planned = {(r["doc_id"], r["source"]): r["times"] for r in mixing.plan(docs).collect()}
-    got = Counter((r["doc_id"], r["source"]) for r in out.collect())
-    copies = Counter((r["doc_id"], r["source"]) for r in docs.collect())
-    assert got == Counter({k: planned[k] * n for k, n in copies.items() if planned[k]})
+    planned = Counter()
+    for r in mixing.plan(docs).collect():
+        planned[r["doc_id"], r["source"]] += r["times"]
+    assert Counter((r["doc_id"], r["source"]) for r in out.collect()) == +planned
     assert mixing.mix(empty(spark)).count() == 0 and mixing.plan(empty(spark)).count() == 0
 
 
+def test_rows_of_one_id_are_taken_one_by_one(spark):
+    """A source made of one doc_id, or of none, meets a target that is a fraction of its words, and reruns agree."""
+    for same in (7, None):
+        rows = [(same, "w " * 10, "en", "a", 1)] * 60 + [(same, "w " * 10 + str(k), "en", "a", 1) for k in range(40)] + [(k, "w " * 10, "en", "b", 1) for k in range(1000, 1060)]
+        docs = spark.createDataFrame(rows, DOC).repartition(5)
+        got = mixing.plan(docs).collect()
+        taken = Counter()
+        for r in got:
+            taken[r["source"]] += r["times"] * r["size"]
+        assert all(abs(taken[r["source"]] - r["target"]) <= 11 for r in got) and taken["a"] % 1040
+        assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.plan(docs.repartition(3)).collect()))
+
+
 # 4 syncmers
 
 
@@ -241,6 +254,68 @@ def test_edits_follow_the_order(spark, rows, monkeypatch):
     assert all(0 <= r["near_edited"] <= 1 for r in got) and sum(r["near_edited"] > r["near_next"] + 0.2 for r in long) > 0.98 * len(long)
 
 
+@pytest.mark.parametrize("rows", [4000, 3])
+def test_rows_of_one_id_follow_each_other(spark, rows, monkeypatch):
+    """Repeated and missing ids, brute force: an order of (id, text) in which rows alike stand side by side."""
+    monkeypatch.setattr(syncmers.block_starts, "__defaults__", (rows, 64))
+    monkeypatch.setattr(syncmers, "LOT", 2)
+    docs = [(3, f"text {k} of three " * 9) for k in range(6)] + [(3, "copy " * 30)] * 5 + [(None, "none " * 20)] * 4 + [(None, f"other {k} " * 15) for k in range(5)] + [(9, "nine " * 40), (1, None), (2, "two two two")]
+    got = syncmers.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    texts = {hashlib.sha256(e.encode()).hexdigest(): (a, b) for _, a in docs for _, b in docs for a, b in [(a or "", b or "")] for e in [a[: len(a) - len(a) // 3] + b[: len(a) // 3]]}
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in docs)
+    ids = {}
+    for i, t in docs:
+        ids.setdefault(t or "", i)
+    starts, ends, alike = Counter(), Counter(), 0
+    for r in got:
+        a, b = texts[r["edited_sha256"]]
+        if a and len(a) // 3:
+            starts[a] += 1
+            ends[b] += 1
+            alike += a == b
+            x, y = ids[a], ids[b]
+            assert x == y or (x, y) in ((9, 3), (3, 2), (2, 1), (None, 9)), (x, y)
+    assert starts == Counter(t for _, t in docs if t and len(t) >= 3) and alike == 4 + 3
+
+
+def brute_sketch(spark, texts):
+    """The smallest anchors of each text by plain loops over word hashes."""
+    words = [[w for w in re.split(r"\s+", t.lower()) if w] for t in texts]
+    flat = spark.createDataFrame([(d, k, w) for d, ws in enumerate(words) for k, w in enumerate(ws)], "d int, k int, w string")
+    hashes = defaultdict(list)
+    for r in flat.select("d", "k", F.xxhash64("w").alias("h")).orderBy("d", "k").collect():
+        hashes[r["d"]].append(r["h"])
+    pairs = [(d, k, h[k], h[k + 1]) for d, h in hashes.items() for k in range(len(h) - 1)]
+    s = {(r["d"], r["k"]): r["s"] for r in spark.createDataFrame(pairs, "d int, k int, a long, b long").select("d", "k", F.xxhash64("a", "b").alias("s")).collect()}
+    closed = [(d, i, *(s[d, i + j] for j in range(4))) for d, h in hashes.items() for i in range(len(h) - 4) if min(s[d, i + j] for j in range(4)) in (s[d, i], s[d, i + 3])]
+    out = defaultdict(set)
+    for r in spark.createDataFrame(closed, "d int, i int, a long, b long, c long, e long").select("d", F.xxhash64("a", "b", "c", "e").alias("x")).collect():
+        out[r["d"]].add(r["x"])
+    return [sorted(out[d])[: syncmers.SKETCH] for d in range(len(texts))]
+
+
+def test_fingerprints_against_brute_force(spark):
+    """Fingerprints and both likenesses of plain texts, from loops and sets."""
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect() if r["text"] and r["text"].isascii() and 5 < len(r["text"].split()) and max(map(len, r["text"].split())) <= 32][:60]
+    docs = [(i, t) for i, t in docs if not re.search(r"[\x1c-\x1f]", t)]
+    got = {r["doc_id"]: r for r in syncmers.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    edits, order = brute_edits(docs), sorted(docs, reverse=True)
+    own = dict(zip([i for i, _ in order], brute_sketch(spark, [t for _, t in order]), strict=True))
+    other = dict(zip([i for i, _ in order], brute_sketch(spark, [edits[i] for i, _ in order]), strict=True))
+    printed = lambda x: "".join(f"{h & (1 << 64) - 1:016x}" for h in x)
+
+    def alike(a, b):
+        joint = sorted(set(a) | set(b))[: syncmers.SKETCH]
+        return len(set(joint) & set(a) & set(b)) / len(joint) if joint else 1.0
+
+    assert len(order) > 30
+    for k, (i, _) in enumerate(order):
+        r, after = got[i], order[(k + 1) % len(order)][0]
+        if len(edits[i].split()) >= 5:
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (printed(own[i]), printed(other[i]))
+            assert r["near_edited"] == pytest.approx(alike(own[i], other[i])) and r["near_next"] == pytest.approx(alike(own[i], own[after]))
+
+
 def test_syncmers_are_context_free(spark):
     words = [f"w{k}" for k in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "new words in front " + " ".join(words)), (3, " ".join(words[:25] + ["changed"] + words[26:]))], "doc_id long, text string")
@@ -307,6 +382,29 @@ def test_parser_forgives():
         dom.parse(bad)
 
 
+def test_tags_that_html_lets_out():
+    shown = lambda page: [t for t in dom.parse(page).texts if t]
+    assert shown("<html><head><title>t</title><article><p>one</p><p>two</p></article></html>") == ["one", "two"]
+    assert shown("<html><head><meta a>words here<p>x") == ["words here", "x"] and shown("<title>t</title><p>x") == ["x"]
+    assert shown("<head><script>'<p>'</script><body><p>b") == ["b"]
+    for hidden in ("<button>Menu", "<svg><path d=x>", "<object data=x>fall", "<audio src=x>", "<select><option>a<option>b", "<video>"):
+        assert shown(f"<div>{hidden}<p>hello</p></div><p>world</p>") == ["hello", "world"], hidden
+    assert shown("<button><div>in</div></button><video><p>no</p></video><p>yes") == ["yes"] and shown("<button>a<button>b</button>c") == ["c"]
+    assert shown("<noscript>x<p>y") == ["x", "y"] and shown("<noscript>x</noscript><p>y") == ["y"]
+    assert shown("<p>&am<b>p;</b> &amp;am<i>p;</i> &lt;b</p>") == ["&amp; &amp; <b"]
+
+
+def test_main_text_without_its_tags():
+    """The same article however it is marked up, and where head and body are left out."""
+    body = "".join(f"<p>Sentence {k} of the story tells what came of it, at some length, for readers.</p>" for k in range(6))
+    side = "<nav class=nav><ul>" + "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(6)) + "</ul></nav>"
+    end = "<footer>&copy; Someone <a href=/x>Imprint</a></footer>"
+    want = " ".join(f"Sentence {k} of the story tells what came of it, at some length, for readers." for k in range(6))
+    for start, stop in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ("<div id=story>", "</div>"), ("<section class=post>", "")):
+        pages = [f"<html><head><title>x</title></head><body>{side}{start}{body}{stop}{end}</body></html>", f"<title>x</title>{side}{start}{body}{stop}{end}", f"<html><head><title>x</title>{side}{start}{body}{stop}{end}"]
+        assert extraction.main_texts(extraction.trained(), pages) == [want] * 3, start
+
+
 def test_held_out_layouts():
     model = extraction.trained()
     right = total = 0
@@ -446,6 +544,25 @@ def test_simhash_awkward(spark):
     assert simhash.near_duplicates(spark.createDataFrame([(None, "alone")], "doc_id long, text string")).first()["component_id"] is None
 
 
+def test_a_row_without_an_id_is_a_bridge(spark):
+    """Three texts in a chain, the middle one without an id: one component, named by the smallest id."""
+    rng, found = random.Random(1), None
+    words = [f"w{k}" for k in range(4000)]
+    while found is None:
+        base = [rng.choice(words) for _ in range(400)]
+        chain = [base]
+        for _ in range(2):
+            nxt = list(chain[-1])
+            nxt[rng.randrange(400)] = "changed" + str(rng.random())
+            chain.append(nxt)
+        p = [simhash.fingerprint(" ".join(t)) for t in chain]
+        d = lambda a, b: (p[a] ^ p[b]).bit_count()
+        if 0 < d(0, 1) <= 4 and 0 < d(1, 2) <= 4 and d(0, 2) > 4:
+            found = [" ".join(t) for t in chain]
+    docs = spark.createDataFrame([(5, found[0]), (None, found[1]), (3, found[2]), (8, "alone")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {5: 3, None: 3, 3: 3, 8: 8}
+
+
 # 7 lines
 
 
@@ -458,10 +575,10 @@ def kept_lines(rows):
     first = {}
     for i, text in sorted(rows):
         for line in (text or "").split("\n"):
-            if len(line.strip()) >= lines.MIN_CHARS:
+            if line.strip():
                 first.setdefault(line.strip(), i)
     names = list(first)
-    sets = [shingles(x) for x in names]
+    sets = [shingles(x) if len(x) >= lines.MIN_CHARS else {x} for x in names]
     links = [(a, b) for a in range(len(names)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     root = groups(len(names), links)
     best = {}
@@ -473,7 +590,7 @@ def kept_lines(rows):
         seen, kept = set(), []
         for line in (text or "").split("\n"):
             bare = line.strip()
-            if len(bare) < lines.MIN_CHARS or (bare in stays and first[bare] == i and bare not in seen):
+            if not bare or (bare in stays and first[bare] == i and bare not in seen):
                 kept.append(line)
                 seen.add(bare)
         out[i] = None if text is None else "\n".join(kept)
@@ -508,13 +625,13 @@ def test_signatures_find_alike_lines():
 
 def test_exact_jaccard():
     texts = ["hello world this is a line", "hello world this is a linf", "zzzz", "é" * 30, "completely different words here"]
-    keys, bounds = lines.shingle_sets(texts)
+    keys, bounds, bits = lines.shingle_sets(texts)
     assert np.diff(bounds).tolist() == [len(shingles(x)) for x in texts]
     for a in range(5):
         for b in range(5):
             if shingles(texts[a]) and shingles(texts[b]):
                 j = len(shingles(texts[a]) & shingles(texts[b])) / len(shingles(texts[a]) | shingles(texts[b]))
-                assert lines.alike(keys, bounds, 0.7)(np.array([a]), np.array([b]))[0] == (j >= 0.7)
+                assert lines.alike(keys, bounds, bits, 0.7)(np.array([a]), np.array([b]))[0] == (j >= 0.7)
 
 
 def test_lines_awkward(spark):
@@ -535,6 +652,24 @@ def test_short_copies_go_exactly(spark):
     assert got == {1: rows[0][1], 2: "On.\n\nThing 1", 3: "Thing 2\nshort but nineteen!", None: "new"}
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    line, other = "a line that several rows hold in common", "another line of some length that stays"
+    rows = [(None, f"{line}\n{other}"), (None, f"{line}\nonly here, and long enough to be compared"), (None, line), (4, f"{line}\nfour"), (4, line), (4, line), (2, "two"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = lines.dedup_lines(docs).collect()
+    every = Counter(x for r in got for x in (r["text"] or "").split("\n") if x)
+    assert len(got) == len(rows) and set(every.values()) == {1} and set(every) == {x for _, t in rows for x in (t or "").split("\n") if x}
+    assert [r["doc_id"] for r in got if line in (r["text"] or "")] == [4] and sum(r["text"] is None for r in got) == 1
+
+
+def test_wide_batches_keep_rows_apart():
+    texts = [f"line number {k % 70_000} of a batch of many rows" for k in range(70_001)]
+    keys, bounds, bits = lines.shingle_sets(texts)
+    assert bits == 47 and len(bounds) == 70_002
+    near = lines.alike(keys, bounds, bits, 0.99)
+    assert near(np.array([0, 0]), np.array([70_000, 1])).tolist() == [True, False]
+
+
 def test_no_short_copy_is_left(spark):
     got = [r["text"] for r in queries.op7_line_dedup(spark, SF).collect()]
     short = Counter(x.strip() for t in got if t for x in t.split("\n") if 0 < len(x.strip()) < lines.MIN_CHARS)
@@ -550,9 +685,11 @@ def test_top_k_against_sql(spark):
     assert got == sorted(sql(queries.ORACLES["op8_top_k"]).fetchall())
 
 
-def test_top_k_across_blocks_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 40)
-    monkeypatch.setattr(topk, "QUERIES", 3)
+@pytest.mark.parametrize("numbers", [1 << 22, 0])
+def test_top_k_across_blocks_and_ties(spark, monkeypatch, numbers):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "GROUP", 3)
+    monkeypatch.setattr(topk, "BROADCAST_NUMBERS", numbers)
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 6) / 256]) for i in range(200)]
     rows += [(500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, [1.0] * 5), (505, []), (None, [1.0] * 6)]
@@ -566,6 +703,25 @@ def test_top_k_across_blocks_and_ties(spark, monkeypatch):
     assert topk.top_k(frame.where("vec_id < 3"), frame.where("vec_id = 0")).count() == 2
 
 
+def test_reading_stops_once_outsiders_cannot_qualify():
+    """On skewed vectors a query reads a part of each list only; what it returns is exact all the same."""
+    rng = np.random.default_rng(3)
+    n, k = 4000, 5
+    ids = np.arange(n)
+    block = np.floor(rng.normal(size=(n, 8)) * 3)
+    block[:40] = np.abs(block[:40]) * 200 + 20
+    queries = block[:6] / 100
+    trace = []
+    got = list(topk.read_lists(np.arange(6), queries, ids, block, k, trace))
+    for q, (own, best, scores) in enumerate(got):
+        want = sorted((-(queries[q] @ block[i]), i) for i in range(n) if i != own)[:k]
+        assert np.allclose([-s for s, _ in want], scores) and best.tolist() == [i for _, i in want]
+    assert [d for d, _ in trace] == sorted({d for d, _ in trace}) and trace[0] == (500, 6) and trace[-1][0] < n
+    flat, full = rng.normal(size=(300, 4)), []
+    list(topk.read_lists(np.arange(2), flat[:2], np.arange(300), flat, k, full))
+    assert full[-1][0] == 300 or full[-1][1] < 2
+
+
 # 9 WARC
 
 
@@ -590,6 +746,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_large_pages_are_not_shuffled(spark, tmp_path):
+    """Payloads of several MB, in files bounded by bytes; each record has an id of its own."""
+    big = "m" * 3_000_000
+    rows = [(k, "u", big + str(k // 2)) for k in range(12)] + [(k, "u", f"small page {k % 7} " * 20) for k in range(20, 60)] + [(70, "u", "same id " * 30), (70, "u", "same id " * 30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages")
+    pages = spark.read.parquet(f"file://{tmp_path}/pages")
+    resolved = warc.resolve_revisits(pages.where("page_id < 70"))
+    shuffles = [x for x in resolved._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "Broadcast" not in x]
+    assert not shuffles
+    path = f"file://{tmp_path}/big"
+    warc.write_archives(warc.resolve_revisits(pages), path)
+    records = warc.read_archives(spark, path)
+    assert {p.name for p in (tmp_path / "big").iterdir()} == {"class-0", "class-2"}
+    back = warc.resolve_payloads(records).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in back) == sorted((i, h) for i, _, h in rows)
+    assert records.select("record_id").distinct().count() == len(rows) and records.where("record_type = 'revisit'").count() == 6 + 33
+
+
 def test_broken_archives_are_refused():
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"))
@@ -615,16 +789,63 @@ def test_held_out_ids_follow_crc32(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in got.items())
 
 
-def test_risk_stays_non_negative_and_finds_the_word():
+def test_risk_stays_non_negative_and_finds_the_word(spark):
     rng = random.Random(0)
-    plain = lambda: [zlib.crc32(f"p{rng.randint(0, 400)}".encode()) - (1 << 31) for _ in range(40)]
-    bad = zlib.crc32(b"bad") - (1 << 31)
-    positive = [np.array([*plain(), bad]) for _ in range(120)]
-    unlabelled = [np.array([*plain(), bad] if k % 10 == 0 else plain()) for k in range(900)]
-    names = toxicity.choose_features(positive, unlabelled, 0.1)
+    plain = lambda: [f"p{'abcdefghij'[rng.randint(0, 9)]}{'klmnopqrst'[rng.randint(0, 9)]}{'uvwxyz'[rng.randint(0, 5)]}" for _ in range(40)]
+    positive = [[*plain(), "bad"] for _ in range(120)]
+    others = [[*plain(), "bad"] if k % 10 == 0 else plain() for k in range(900)]
+    rows = spark.createDataFrame([(" ".join(t), True) for t in positive] + [(" ".join(t), False) for t in others], "text string, positive boolean")
+    counts = toxicity.feature_counts(rows)
+    brute = Counter(b for t in positive + others for b in {x for w in set(t) for x in toxicity.word_buckets(w)})
+    assert {r["feature"]: r["n"] for r in counts.collect()} == brute
+    names = toxicity.choose_features(counts, 120, 1020, 0.1)
+    bad = toxicity.word_buckets("bad")[0]
     assert bad in names.tolist()
-    w, b = toxicity.fit_nnpu(positive, unlabelled, names, 0.1)
-    assert (w >= 0).all() and w[names.tolist().index(bad)] + b > 0 > b
+    of = lambda t: np.array([b for w in sorted(set(t)) for b in toxicity.word_buckets(w)])
+    w, b = toxicity.fit_nnpu([of(t) for t in positive], [of(t) for t in others], names, 0.1)
+    assert (w >= 0).all() and sum(w[names.tolist().index(x)] for x in toxicity.word_buckets("bad") if x in names) + b > 0 > b
+
+
+def test_gradient_of_the_risk():
+    """Finite differences, on either side of the correction."""
+    rng = np.random.default_rng(5)
+    names = np.arange(12)
+    rows = lambda n: toxicity.Rows([rng.integers(0, 12, rng.integers(1, 6)) for _ in range(n)], names)
+    p, u, seen = rows(30), rows(50), set()
+    for scale in (0.3, 3.0, 8.0):
+        w = rng.normal(size=13) * scale - scale * (scale > 1)
+        for prior in (0.1, 0.5):
+            _, clean, g = toxicity.risk(p, u, w, prior)
+            seen.add(clean >= 0)
+            goal = lambda v, keep=clean >= 0, prior=prior: (lambda r: (r[0] + r[1]) if keep else -r[1])(toxicity.risk(p, u, v, prior))
+            for k in range(13):
+                step = np.zeros(13)
+                step[k] = 1e-6
+                assert (goal(w + step) - goal(w - step)) / 2e-6 == pytest.approx(g[k], abs=1e-5)
+    assert True in seen
+
+
+def test_scores_by_plain_loops(spark):
+    model = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    if model is None:
+        model = toxicity.Model(np.array(sorted(toxicity.word_buckets("vile"))), np.array([[1.0, 2.0, 0.5], [0.5, 1.0, 0.0]]), np.array([-2.0, -1.0]))
+    of = dict(zip(model.names.tolist(), model.weights.T, strict=True))
+    for text in ("", "plain words", "Vile, vile! and VILENESS", *[r["text"] or "" for r in table(spark, SF, "documents").limit(20).collect()]):
+        total = [b + sum(of[h][k] for w in set(re.findall(r"[^\W\d_]+", text.lower())) for h in toxicity.word_buckets(w) if h in of) for k, b in enumerate(model.biases)]
+        assert model.scores([text])[0] == pytest.approx(np.mean([1 / (1 + np.exp(-min(30, max(-30, x)))) for x in total]))
+
+
+def test_repeated_ids_do_not_multiply(spark, monkeypatch):
+    """60 rows of one id are 60 rows of training, not 60 times 60."""
+    rows = [(i, f"plain words number {i % 7} here" + (" vile" if i % 4 == 0 else "")) for i in range(328)] + [(4, "vile words again")] * 60 + [(None, "plain words of nobody")] * 9
+    marks = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(0, 328, 2)] * 3 + [(None, 0, 1)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "choose_features", lambda counts, p, n, prior, f=toxicity.choose_features: seen.update(p=p, n=n) or f(counts, p, n, prior))
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda p, u, *a, f=toxicity.fit_nnpu: seen.update(fp=len(p), fu=len(u)) or f(p, u, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert toxicity.train(docs, marks) is not None
+    free = [i for i, _ in rows if zlib.crc32(str(i if i is not None else "").encode()) % 5]
+    assert seen["n"] == len(free) and seen["fu"] == len({(i, t) for i, t in rows if i in set(free)}) and seen["p"] == sum(i is not None and i % 4 == 0 for i in free)
 
 
 def test_toxicity_awkward(spark):
@@ -695,8 +916,20 @@ def test_near_duplicates_by_word_sets(spark):
     assert len(set(alike) - set(bits)) > 20 and got == {k for k in range(len(rows)) if root[k] == k}
 
 
-def test_pipeline_on_awkward_documents(spark):
-    docs = awkward(spark, clash=False)
+def test_one_id_with_two_texts(spark):
+    """Unlike texts under one id, or under none, stay; copies and near copies go, whatever their ids."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi".split()) + str(rng.randint(0, 99)) for _ in range(90))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, c), (None, d), (None, c), (None, a), (3, c + " more"), (4, None), (5, ""), (6, d + " words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(1, a), (1, b), (3, c + " more"), (4, None), (6, d + " words")])
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_pipeline_on_awkward_documents(spark, clash):
+    docs = awkward(spark, clash)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert name == "best_fit_packing" or out.columns == docs.columns
