@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet before the next reads it.
 
-Nulls and repeated rows behave as the operators state; each stage but the last returns the columns of documents.
+Defined results: each stage but the last returns the columns of documents, extra ones included, whatever their names; an empty
+table passes through all stages as an empty one. A null text is scored and compared as the empty text, keeps no lines and
+packs as its end token. Rows that share a doc_id, or have none, are documents of their own in every stage; of rows alike in
+doc_id and text the near-duplicate stage keeps one. Ties go to the smaller doc_id. Very long texts are never cut but by packing.
 """
 
 from __future__ import annotations
@@ -8,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import lines, mixing, packing, simhash, toxicity, word_sets
+from panelspark.llm import lines, mixing, near_texts, packing, toxicity
 from panelspark.llm.common import materialise, table
-from panelspark.llm.components import connected_components
 from panelspark.llm.tokenizer import vocabulary
+from panelspark.scratch import mark, release
 
 SEQUENCE = 2048
 
@@ -23,23 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, its text without lines that stay elsewhere."""
-    kept = lines.dedup_lines(docs)
+    """Every document stays, its text without lines that stay elsewhere; n_chars follows the text."""
+    kept = lines.dedup_lines(docs, report=False)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without a doc_id stay. Linked are
-    fingerprints within op6's distance, and texts whose five-word shingles reach a Jaccard similarity of 0.8."""
-    found = materialise(simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"), "near")
-    links = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    parts = connected_components(materialise(links.unionByName(word_sets.word_links(docs.select("doc_id", "text"))), "all-links"))
-    gone = parts.where("node <> component").select("node")
-    kept = materialise(found.select(F.col("doc_id").alias("k_doc")).distinct().join(gone, F.col("k_doc") == F.col("node"), "left_anti"), "kept")
-    one = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("k_doc"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Of each group of linked documents the one with the smallest doc_id stays. Linked are fingerprints within the
+    distance of the SimHash operator, and texts whose five-word shingles reach a Jaccard similarity of 0.8."""
+    return near_texts.one_of_each(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), 0, SEQUENCE)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), 0, SEQUENCE)
 
 
 STAGES = [
@@ -65,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote on its way, and its predecessor's rows, go once its own rows are written."""
     docs = table(spark, sf_dir, "documents")
+    start = mark()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        release(spark, start, keep=docs)
     return docs
