@@ -40,7 +40,7 @@ HELD_OUT = 5
 #: Ids of confirmed toxic documents (8 bytes each) that may be broadcast.
 POSITIVE_IDS = 1_000_000
 #: Features that a task counts before it hands its counts on.
-COUNTED = 400_000
+COUNTED = 100_000
 #: No word alone may be stronger evidence than this.
 MAX_WEIGHT = 12.0
 _WORD = re.compile(r"[^\W\d_]+")
