@@ -17,7 +17,7 @@ from panelspark.llm import simhash, word_sets
 from panelspark.llm.common import broadcast_below, discard, materialise, text_or_empty
 from panelspark.llm.components import connected_components
 
-#: Rows that go (40 bytes each) and may be broadcast.
+#: Rows that go, and components of more than one text (about 60 bytes each), that may be broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -28,6 +28,7 @@ def text_links(texts: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
     grouped = prints.join(parts, F.col("fp") == F.col("node"), "left").select("digest", F.coalesce("component", "fp").alias("part"))
     grouped = materialise(grouped, "text-parts")
     least = grouped.groupBy(F.col("part").alias("l_part")).agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = broadcast_below(materialise(least, "least-texts"), BROADCAST_ROWS)
     near = grouped.join(least, F.col("part") == F.col("l_part")).where("digest <> least").select(F.col("digest").alias("a"), F.col("least").alias("b"))
     return near.unionByName(word_sets.word_links(texts))
 
@@ -45,6 +46,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("c_id").isNull().alias("none"), "c_id", "c_digest")).alias("best")
     best = rows.groupBy(F.col("part").alias("b_part")).agg(first, F.count("*").alias("n")).where("n > 1")
     chosen = F.col("best")["c_id"].eqNullSafe(F.col("c_id")) & (F.col("best")["c_digest"] == F.col("c_digest"))
+    best = broadcast_below(materialise(best, "best-rows"), BROADCAST_ROWS)
     marked = rows.join(best, F.col("part") == F.col("b_part"), "left")
     marked = marked.select("c_id", "c_digest", (F.col("best").isNull() | chosen).alias("c_stays"), (F.col("c_rows") > 1).alias("c_repeats"))
     # Most rows stay and stand alone, so only the others travel.
