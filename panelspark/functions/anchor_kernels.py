@@ -41,6 +41,7 @@ class Rules:
     f_mid_tol: float = 0.015
     f_end_tol: float = 0.006
     f_span_min: int = 20
+    f_hull: str = "least"
     horizon: int = 126
     win: float = 0.20
     stop_atr: float = 2.0
@@ -257,17 +258,20 @@ def trendline_breaks(p: Panel) -> list[Event]:
 
 
 def hull_breaks(p: Panel) -> list[Event]:
-    """Edges of the upper convex hull from each swing high: lines with nothing above them."""
+    """First edges of a convex hull from each swing high.
+
+    The rule that the events follow keeps the edge of the least slope, the farthest bar on a tie (f_hull "least"): the lower
+    hull's, though it is told of as the upper one. "greatest" takes the upper hull's edge, a line with nothing above it.
+    """
     r, out = p.rules, []
     confirm = 10 if r.f_confirm is None else r.f_confirm
     for a0 in swing_highs(p):
         stop = min(a0 + r.f_win + 1, p.n)
         h = p.h[a0:stop]
-        # The hull's first edge from a0 runs to the bar of the greatest slope, the farthest one on a tie.
         slopes = (h[1:] - h[0]) / np.arange(1, len(h)) if len(h) > 1 else np.zeros(0)
         if not len(slopes):
             continue
-        q = len(slopes) - int(np.argmax(slopes[::-1]))
+        q = len(slopes) - int(np.argmin(slopes[::-1]) if r.f_hull == "least" else np.argmax(slopes[::-1]))
         if h[q] >= h[0] or q < r.f_span_min:
             continue
         line = h[0] + slopes[q - 1] * np.arange(p.n - a0)
