@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from panelspark.functions import special
 from panelspark.functions.windows import safe_div
+from panelspark.scratch import in_order, materialise
 
 
 @F.pandas_udf(DoubleType())
@@ -100,7 +101,8 @@ def univariate_screen(matrix: DataFrame, features: list[str], label: str = "labe
     """One row a feature: clustered test, effect sizes, q-value. Without clusters it fails: dependence makes plain p-values lie."""
     if cluster is None:
         raise ValueError("a screen needs cluster ids")
-    rows = long_form(matrix.withColumn("g", F.col(label).cast("int").cast("double")), features, [cluster, "g"])
+    # Four aggregates read these rows; what made them runs once.
+    rows = materialise(long_form(matrix.withColumn("g", F.col(label).cast("int").cast("double")), features, [cluster, "g"]), "screen")
     tested = cluster_robust(rows, cluster=cluster).select("feature", "coef", "se", "t", "pvalue")
     both = effect_sizes(rows).join(tested, "feature", "left")
     enough = (F.col("n_setup") >= 3) & (F.col("n_control") >= 3)
@@ -165,44 +167,71 @@ def industry_neutralize(rows: DataFrame, feature: str, industry: str = "sector",
     return rows.withColumn("residual", F.col(feature) - F.avg(feature).over(cell))
 
 
+def whole_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the rank of column over all rows, ties at their mean: values are counted, and running sums of the counts rank them."""
+    counted = rows.groupBy(F.col(column).alias("w_value")).agg(F.count("*").alias("w_n"))
+    placed = in_order(counted, [F.col("w_value")], F.col("w_n"), "w_before")
+    placed = placed.select("w_value", (F.col("w_before") + (F.col("w_n") + 1) / 2.0).alias(name))
+    return rows.join(placed, F.col(column).eqNullSafe(F.col("w_value"))).drop("w_value")
+
+
 def effect_retention(rows: DataFrame, raw: str, residual: str, target: str) -> DataFrame:
     """One row: the share of the rank correlation with target that the residual keeps."""
-    one = rows.where(F.col(raw).isNotNull() & F.col(target).isNotNull()).withColumn("_all", F.lit(1))
-    a = information_coefficient(one, "_all", raw, target).select(F.abs("ic").alias("raw_ic"))
-    b = information_coefficient(one, "_all", residual, target).select(F.abs("ic").alias("residual_ic"))
-    return a.join(F.broadcast(b), F.lit(True)).withColumn("retention", safe_div(F.col("residual_ic"), F.col("raw_ic")))
+
+    def strength(feature: str, name: str) -> DataFrame:
+        known = rows.where(F.col(raw).isNotNull() & F.col(feature).isNotNull() & F.col(target).isNotNull()).select(F.col(feature).alias("e_f"), F.col(target).alias("e_t"))
+        ranked = whole_rank(whole_rank(known, "e_f", "e_a"), "e_t", "e_b")
+        spread = F.stddev_pop("e_a") * F.stddev_pop("e_b")
+        return ranked.agg(F.count("*").alias("n"), F.abs(F.covar_pop("e_a", "e_b") / F.when(spread > 0, spread)).alias(name)).where("n >= 3").drop("n")
+
+    both = strength(raw, "raw_ic").join(F.broadcast(strength(residual, "residual_ic")), F.lit(True))
+    return both.withColumn("retention", safe_div(F.col("residual_ic"), F.col("raw_ic")))
 
 
-def correlation_matrix(matrix: DataFrame, features: list[str]) -> tuple[np.ndarray, int]:
-    """Pearson correlations over complete rows, from one aggregation of sums: features squared numbers, whatever the rows."""
-    rows = matrix.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna()
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    got = rows.agg(F.count("*"), *(F.covar_pop(features[i], features[j]) for i, j in pairs)).first()
-    cov = np.zeros((len(features),) * 2)
-    for (i, j), c in zip(pairs, got[1:], strict=True):
-        cov[i, j] = cov[j, i] = np.nan if c is None else c
-    sd = np.sqrt(np.diag(cov))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return cov / np.outer(sd, sd), int(got[0])
+def correlation_matrix(matrix: DataFrame, features: list[str], pairwise: bool = False) -> np.ndarray:
+    """Pearson correlations from one aggregation: features squared numbers, whatever the rows. Over rows that know all
+    features, or, pairwise, over the rows that know both of a pair. NaN where a side does not vary."""
+    rows = matrix.select(*(F.col(f).cast("double").alias(f) for f in features))
+    known = lambda f: F.col(f).isNotNull() & ~F.isnan(f)
+    rows = rows.select(*(F.when(known(f), F.col(f)).alias(f) for f in features))
+    if not pairwise:
+        rows = rows.dropna()
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+
+    def corr(a: str, b: str):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        return F.covar_pop(a, b) / F.when(spread > 0, spread)
+
+    got = rows.agg(*(F.stddev_pop(f) for f in features), *(corr(features[i], features[j]) for i, j in pairs)).first()
+    out = np.diag([1.0 if sd else np.nan for sd in got[: len(features)]])
+    for (i, j), c in zip(pairs, got[len(features) :], strict=True):
+        out[i, j] = out[j, i] = np.nan if c is None else c
+    return out
 
 
 def variance_inflation(matrix: DataFrame, features: list[str]) -> DataFrame:
-    """VIF of each feature from one inverse of the correlations; infinite for constants and exact combinations."""
-    corr, _ = correlation_matrix(matrix, features)
+    """VIF of each feature, at least 1, from one inverse of the correlations over complete rows; a pseudo-inverse where they are
+    singular; infinite for constants and beyond 1e10."""
+    corr = correlation_matrix(matrix, features)
     fine = np.isfinite(np.diag(corr))
-    vif = np.full(len(features), np.inf)
-    if fine.any():
+    vif = np.where(fine, 1.0, np.inf)
+    if fine.sum() > 1:
+        part = corr[np.ix_(fine, fine)]
         try:
-            inverse = np.diag(np.linalg.inv(corr[np.ix_(fine, fine)]))
-            vif[fine] = np.where((inverse > 0) & (inverse < 1e10), inverse, np.inf)
+            inverse = np.diag(np.linalg.inv(part))
         except np.linalg.LinAlgError:
-            pass
+            inverse = np.diag(np.linalg.pinv(part))
+        vif[fine] = np.where(np.isfinite(inverse) & (inverse <= 1e10), np.maximum(1.0, inverse), np.inf)
     return matrix.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, vif, strict=True)], "feature string, vif double")
 
 
-def high_correlation_pairs(matrix: DataFrame, features: list[str], least: float = 0.8) -> DataFrame:
-    corr, _ = correlation_matrix(matrix, features)
+def high_correlation_pairs(matrix: DataFrame, features: list[str], least: float = 0.9) -> DataFrame:
+    """Pairs of features whose correlation, over the rows that know both, reaches least in size."""
+    corr = correlation_matrix(matrix, features, pairwise=True)
     found = [(features[i], features[j], float(corr[i, j])) for i in range(len(features)) for j in range(i + 1, len(features)) if abs(corr[i, j]) >= least]
+    found.sort(key=lambda r: -abs(r[2]))
     return matrix.sparkSession.createDataFrame(found, "feature_a string, feature_b string, corr double")
 
 
@@ -216,7 +245,8 @@ def decile_lift(rows: DataFrame, score: str, forward: str, n: int = 10, date: st
     rows = rows.where(F.col(score).isNotNull() & F.col(forward).isNotNull())
     hit = (F.col(forward) > 0).cast("int")
     if date is None:
-        return rows.withColumn("decile", deciles(score, [F.lit(0)], n, tie)).groupBy("decile").agg(F.avg(forward).alias("mean"), F.avg(hit).alias("hit_rate"), F.count("*").alias("n"))
+        placed = in_order(rows, [F.col(score), F.col(tie)], name="_place", total="_all")
+        return placed.withColumn("decile", F.floor(F.col("_place") * n / F.col("_all")).cast("int")).groupBy("decile").agg(F.avg(forward).alias("mean"), F.avg(hit).alias("hit_rate"), F.count("*").alias("n"))
     rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(date))).where(F.col("_n") >= n).withColumn("decile", deciles(score, [date], n, tie))
     per = rows.groupBy(date, "decile").agg(F.avg(forward).alias("m"), F.avg(hit).alias("h"), F.count("*").alias("c"))
     return per.groupBy("decile").agg(F.avg("m").alias("mean"), F.avg("h").alias("hit_rate"), F.sum("c").alias("n"))
@@ -224,8 +254,8 @@ def decile_lift(rows: DataFrame, score: str, forward: str, n: int = 10, date: st
 
 def capacity(rows: DataFrame, score: str, adv: str, top: float = 0.1, clip: float = 0.01, tie: str = "point_id") -> DataFrame:
     """One row: names in the top share, their median volume, a clip's median and the sum of clips."""
-    k = max(1, int(rows.count() * top))
-    best = rows.orderBy(F.col(score).desc(), F.col(tie).desc()).limit(k)
+    placed = in_order(rows, [F.col(score), F.col(tie)], name="_place", total="_all", descending=True)
+    best = placed.where(F.col("_place") < F.greatest(F.lit(1), F.floor(F.col("_all") * top)))
     return best.agg(F.count("*").alias("n_top"), F.percentile(adv, 0.5).alias("median_adv"), F.percentile(F.col(adv) * clip, 0.5).alias("median_clip"), F.sum(F.col(adv) * clip).alias("aggregate_capacity"))
 
 
@@ -239,8 +269,11 @@ def auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None) ->
     keys = by or []
     y = F.col(label).cast("int")
     counted = rows.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(y).alias("c1"), F.sum(1 - y).alias("c0"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("below", F.coalesce(F.sum("c0").over(w), F.lit(0)))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counted.withColumn("below", F.coalesce(F.sum("c0").over(w), F.lit(0)))
+    else:
+        ranked = in_order(counted, [F.col(score)], F.col("c0"), "below")
     return ranked.groupBy(*keys).agg(safe_div(F.sum(F.col("c1") * (F.col("below") + F.col("c0") / 2.0)), F.sum("c1") * F.sum("c0")).alias("auc"))
 
 
@@ -282,20 +315,52 @@ def deflated_sharpe_tracked(returns: DataFrame, trials: list[float], column: str
     return {"n_obs": g["n"], "sharpe": sharpe, "skew": g["k3"], "kurt": g["k4"], "autocorr": g["ac"], "deflated": p}
 
 
-def block_bootstrap(rows: DataFrame, value: str, cluster: str = "entity_id", draws: int = 500, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Mean and interval of resampled clusters. Only (sum, n) of each cluster enters; a draw weighs it by a Poisson count, so
-    draws are a projection of the cluster sums and are reduced where they lie."""
-    per = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+#: Blocks that clusters are dealt to in a bootstrap; the driver holds draws times so many counts and sums.
+BOOTSTRAP_BLOCKS = 128
 
-    def weigh(batches):
-        for pdf in batches:
-            rng = [np.random.default_rng([seed, int(c) & 0xFFFFFFFF]).poisson(1.0, draws) for c in pdf[cluster]]
-            w = np.asarray(rng, dtype=float).reshape(len(pdf), draws)
-            yield pd.DataFrame({"draw": np.arange(draws), "s": pdf["s"].to_numpy(float) @ w, "n": pdf["n"].to_numpy(float) @ w})
 
-    drawn = per.mapInPandas(weigh, "draw int, s double, n double").groupBy("draw").agg(safe_div(F.sum("s"), F.sum("n")).alias("m"))
-    tail = (1 - level) / 2
-    return drawn.agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
+def multiplier_bootstrap(rows: DataFrame, values: list[str], cluster: str = "entity_id", draws: int = 500, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """value, mean, low and high: the mean of each column over all rows that know it, and its interval over resampled clusters.
+
+    A draw takes as many clusters as there are, with replacement, and weighs all columns by the same counts. How many of a
+    draw fall to each block of clusters is drawn first, then how often each cluster of the block: together one multinomial
+    draw. Only sums by cluster enter, and sums by block and draw come back, to be added in a fixed order.
+    """
+    spark = rows.sparkSession
+    sums = [f(F.col(v)).cast("double").alias(f"{n}{k}") for k, v in enumerate(values) for n, f in (("s", F.sum), ("n", F.count))]
+    per = rows.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("c_id")).agg(*sums)
+    per = materialise(per.withColumn("block", F.pmod(F.xxhash64("c_id"), F.lit(BOOTSTRAP_BLOCKS)).cast("int")), "clusters")
+    sizes = {r["block"]: r["n"] for r in per.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    schema = "value string, mean double, low double, high double"
+    if not sizes:
+        return spark.createDataFrame([(v, None, None, None) for v in values], schema)
+    blocks, total = sorted(sizes), sum(sizes.values())
+    counts = np.random.default_rng(seed).multinomial(total, [sizes[b] / total for b in blocks], size=draws)
+    place, names = {b: k for k, b in enumerate(blocks)}, [f"{n}{k}" for k in range(len(values)) for n in "sn"]
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c_id", kind="stable")
+        b = int(pdf["block"].iloc[0])
+        rng, share = np.random.default_rng([seed, b]), np.full(len(pdf), 1.0 / len(pdf))
+        x = pdf[names].fillna(0.0).to_numpy(float)
+        drawn = np.stack([rng.multinomial(int(n), share) @ x for n in counts[:, place[b]]])
+        whole = pd.DataFrame(np.vstack([x.sum(axis=0), drawn]), columns=names)
+        return whole.assign(block=b, draw=np.arange(-1, draws))
+
+    found = per.groupBy("block").applyInPandas(weigh, ", ".join([*(f"{n} double" for n in names), "block int", "draw int"])).toPandas().sort_values(["draw", "block"])
+    every = found.groupby("draw", sort=True)[names].sum()
+    out, tail = [], (1 - level) / 2
+    for k, v in enumerate(values):
+        n = every[f"n{k}"].to_numpy()
+        mean = np.divide(every[f"s{k}"].to_numpy(), n, out=np.full(len(n), np.nan), where=n > 0)
+        low, high = (np.nanquantile(mean[1:], q) if np.isfinite(mean[1:]).any() else np.nan for q in (tail, 1 - tail))
+        out.append((v, *(float(x) if np.isfinite(x) else None for x in (mean[0], low, high))))
+    return spark.createDataFrame(out, schema)
+
+
+def block_bootstrap(rows: DataFrame, value: str, cluster: str = "entity_id", draws: int = 500, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """One row: the mean of value over all rows and its interval over resampled clusters."""
+    return multiplier_bootstrap(rows, [value], cluster, draws, seed, level).drop("value")
 
 
 def feature_mutual_info(matrix: DataFrame, features: list[str], label: str, bins: int = 16) -> DataFrame:

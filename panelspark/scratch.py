@@ -83,7 +83,7 @@ def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def in_order(df: DataFrame, order: Sequence[Column], amount: Column | None = None, name: str = "before", total: str | None = None) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[Column], amount: Column | None = None, name: str = "before", total: str | None = None, descending: bool = False) -> DataFrame:
     """df with a column: the sum of amount (by default 1 a row) over all rows that stand before the row in the whole order.
 
     Rows are dealt to tasks by ranges of the order and written down; sums of the ranges, one number a task, give each
@@ -91,7 +91,7 @@ def in_order(df: DataFrame, order: Sequence[Column], amount: Column | None = Non
     """
     amount = F.lit(1).cast("long") if amount is None else amount
     rows = df.select(F.struct(*df.columns).alias("o_row"), amount.alias("o_amount"), *[c.alias(f"o_{k}") for k, c in enumerate(order)])
-    by = [F.col(f"o_{k}") for k in range(len(order))]
+    by = [F.col(f"o_{k}").desc() if descending else F.col(f"o_{k}") for k in range(len(order))]
     rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("o_row", "o_amount", F.monotonically_increasing_id().alias("o_at"))
     rows = materialise(rows, "ordered").withColumn("o_part", F.shiftright("o_at", 33))
     sums = rows.groupBy(F.col("o_part").alias("s_part")).agg(F.sum("o_amount").alias("s_sum"))
