@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from panelspark.functions.anchor_kernels import LABELS, VARIANTS, Panel, Rules, all_events, outcome
 from panelspark.functions.windows import safe_div
 from panelspark.operators.detect import per_entity
+from panelspark.scratch import materialise
 from panelspark.sources.bars import KEY, series, trailing
 
 EVENT = "entity_id long, event_date date, bar_idx int, family string, variant_tag string, entry_price double, stop_price double, native_stop double, outcome string, outcome_date date, fwd_mfe double, fwd_mae double, bars_to_resolution int"
@@ -18,6 +19,7 @@ EVENT = "entity_id long, event_date date, bar_idx int, family string, variant_ta
 
 def setup_labels(bars: DataFrame, troughs: DataFrame, k: int = 20, every: int = 5, first: int = 252) -> DataFrame:
     """Points every few bars, positive if a trough (entity_id, trough_idx) lies in [i, i + k]; repeated troughs fail the job."""
+    troughs = materialise(troughs.select(KEY, "trough_idx"), "troughs")  # so that the check does not run the detector again
     if not troughs.groupBy(KEY, "trough_idx").count().where("count > 1").isEmpty():
         raise ValueError("troughs repeat: pass one scale")
     rows = bars.withColumn("i", F.row_number().over(series()) - 1)
@@ -27,6 +29,10 @@ def setup_labels(bars: DataFrame, troughs: DataFrame, k: int = 20, every: int =
     return points.select(KEY, "date", F.col("i").alias("as_of_index"), F.col("linked").isNotNull().alias("label"), F.lit(k).alias("forward_window_k"), (F.col("linked") - F.col("i")).alias("lead_time_days"), F.col("linked").alias("linked_trough_index"))
 
 
+#: A prime beyond any bucket's size: multiples of it are distinct places.
+STRIDE = 2_147_483_647
+
+
 def liquidity_quintile(rows: DataFrame, value: str, within: str = "date", buckets: int = 5) -> DataFrame:
     """Equal-width cuts of the rank within each group, ties by entity: the bucket of a rank is as quantile edges give it."""
     w = Window.partitionBy(within)
@@ -37,27 +43,37 @@ def liquidity_quintile(rows: DataFrame, value: str, within: str = "date", bucket
 
 
 def matched_controls(cases: DataFrame, pool: DataFrame, match: list[str], n: int = 1, seed: int = 0, exclude_same: bool = True) -> DataFrame:
-    """For each case (case_id) n rows of the pool (control_id) that agree on match, drawn by a seeded hash.
+    """For each case (case_id) n rows of the pool (control_id) that agree on match, drawn by a seeded hash from all such rows.
 
-    Each side is ordered by hash within a bucket and a case takes the next controls in that circle after its own place, so
-    no bucket is ever paired off in full. Of one more control than asked, one may be of the case's own entity and is passed over.
+    Pool rows are numbered within a bucket, an entity's rows side by side, so that a case passes over its own entity's rows by
+    their place; its draws are distinct places of the rest, a fixed stride apart. No bucket is ever paired off in full.
     """
     classes = {"sector", "industry", "gics", "gics_name"}
     if classes & set(match) and not ("is_delisted" in pool.columns and "is_delisted" in cases.columns):
         raise ValueError("matching on a classification needs is_delisted on both sides")
     own = Window.partitionBy(*match)
     order = lambda c: F.xxhash64(F.lit(seed), F.col(c))
-    # One entity may fill consecutive places of the circle, so places go by entity first seen in hash order.
-    slots = pool.groupBy(*match, KEY).agg(F.min_by("control_id", order("control_id")).alias("control_id"))
-    slots = slots.withColumns({"place": F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), F.col(KEY)), KEY)) - 1, "m": F.count("*").over(own)}).withColumnRenamed(KEY, "control_entity")
-    sizes = slots.groupBy(*match).agg(F.max("m").alias("m_all"))
-    asked = cases.join(sizes, match).withColumn("try", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("m_all") - 1))))
-    asked = asked.withColumn("place", (F.pmod(order("case_id"), F.col("m_all")) + F.col("try")) % F.col("m_all"))
-    drawn = asked.join(slots, [*match, "place"])
+    slots = pool.select(*match, F.col(KEY).alias("control_entity"), "control_id")
+    slots = slots.withColumn("place", F.row_number().over(own.orderBy(order("control_entity"), "control_entity", order("control_id"), "control_id")) - 1)
+    sizes = slots.groupBy(*match).agg(F.count("*").alias("m_all"))
+    same = slots.groupBy(*match, F.col("control_entity").alias(KEY)).agg(F.min("place").alias("own_at"), F.count("*").alias("own_n"))
+    asked = cases.select("case_id", KEY, *match).join(sizes, match)
     if exclude_same:
-        drawn = drawn.where(F.col("control_entity") != F.col(KEY))
-    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("case_id").orderBy("try"))).where(F.col("nth") <= n)
-    return drawn.select("case_id", "control_id", "control_entity", *match)
+        asked = asked.join(same, [*match, KEY], "left")
+    else:
+        asked = asked.withColumns({"own_at": F.lit(None).cast("int"), "own_n": F.lit(None).cast("long")})
+    skip = F.coalesce("own_n", F.lit(0))
+    asked = asked.withColumn("m", F.col("m_all") - skip).where("m > 0")
+    asked = asked.withColumn("try", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("m")).cast("int") - 1)))
+    at = F.pmod(F.pmod(order("case_id"), F.col("m")) + F.col("try") * F.pmod(F.lit(STRIDE), F.col("m")), F.col("m"))
+    asked = asked.withColumn("at", at).withColumn("place", F.when(F.col("at") >= F.coalesce("own_at", F.col("m_all")), F.col("at") + skip).otherwise(F.col("at")))
+    return asked.join(slots, [*match, "place"]).select("case_id", "control_id", "control_entity", *match)
+
+
+def delisted_shares(cases: DataFrame, controls: DataFrame) -> DataFrame:
+    """One row: the share of delisted names among the cases and among their controls (both with is_delisted)."""
+    share = lambda rows, name: rows.agg(F.avg(F.col("is_delisted").cast("int")).alias(name))
+    return share(cases, "delisted_share_cases").join(F.broadcast(share(controls, "delisted_share_controls")), F.lit(True))
 
 
 def control_diagnostics(cases: DataFrame, pool: DataFrame, match: list[str]) -> DataFrame:

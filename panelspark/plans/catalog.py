@@ -110,6 +110,31 @@ def move_query_top(spark, sf_dir):
 ORACLES |= detect_sql.oracles()
 
 
+def _plain_catalog(spark, sf_dir):
+    moves = detect.detect_moves(src.daily_bars(spark, sf_dir))
+    return moves.withColumn("total_pct_gain", F.col("magnitude")).withColumn("descriptors", F.struct("magnitude", "duration_days")).withColumn("inception", F.struct("magnitude"))
+
+
+@query
+def move_query_significant(spark, sf_dir):
+    """Closed moves in the top tenth of all that had resolved by their own resolution."""
+    found = MoveQuery(catalog_moves.with_percentile(_plain_catalog(spark, sf_dir))).significant_above(0.9).run()
+    return found.select(KEY, "scale", "start_date", "pctile")
+
+
+@query
+def move_query_filters(spark, sf_dir):
+    found = MoveQuery(_plain_catalog(spark, sf_dir)).scale("trail_6").direction("up").duration_between(5, 60).run()
+    return found.select(KEY, "scale", "start_date", "duration_days")
+
+
+ORACLES["move_query_filters"] = f"""WITH m AS ({ORACLES["moves_mfe_multiscale"]})
+    SELECT entity_id, scale, start_date, CAST(peak_idx - trough_idx AS DOUBLE) AS duration_days FROM m
+    WHERE scale = 'trail_6' AND direction = 'up' AND peak_idx - trough_idx BETWEEN 5 AND 60"""
+ORACLES["catalog_fingerprint"] = f"""WITH m AS ({ORACLES["moves_mfe_multiscale"]})
+    SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', CAST(entity_id AS VARCHAR), CAST(CAST(start_date AS DATE) AS VARCHAR), scale, 'mfe', direction)), 1, 15)) AS BIGINT)) AS VARCHAR) AS digest FROM m"""
+
+
 # Cleaning and universe
 
 LOCKBOX, FLOOR, INDEX_START = "2001-01-01", 40.0, "1996-06-01"
@@ -422,6 +447,7 @@ def move_query_oversold(spark, sf_dir):
 
 
 ORACLES |= labels_sql.oracles()
+ORACLES["move_query_significant"] = f"WITH e AS ({ORACLES['expanding_percentile']}) SELECT entity_id, scale, start_date, pctile FROM e WHERE pctile >= 0.9"
 
 
 # Discovery, regimes, models

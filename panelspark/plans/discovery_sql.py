@@ -69,8 +69,8 @@ def oracles() -> dict[str, str]:
               covar_pop(range_position_63, vol_surge_21) OVER (PARTITION BY date) AS cv, var_pop(vol_surge_21) OVER (PARTITION BY date) AS vx FROM k)
             SELECT entity_id, date, round(range_position_63 - mf - CASE WHEN n > 2 AND vx > 1e-18 THEN cv / vx ELSE 0 END * (vol_surge_21 - mx), 6) AS residual FROM w""",
         "industry_neutralize": f"""{with_bars(PREP, DIMS, SAMPLE)} SELECT entity_id, date, round(range_position_63 - avg(range_position_63) OVER (PARTITION BY date, sector), 6) AS residual FROM fm JOIN dims USING (entity_id) WHERE range_position_63 IS NOT NULL""",
-        "correlation_pairs": f"""{with_bars(PREP, SAMPLE)}, k AS (SELECT * FROM pts WHERE {" AND ".join(f"{f} IS NOT NULL" for f in FEATURES)})
-            SELECT * FROM ({" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) AS corr FROM k" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:])}) WHERE abs(corr) >= 0.1""",
+        "correlation_pairs": f"""{with_bars(PREP, SAMPLE)}
+            SELECT * FROM ({" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS corr FROM pts" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:])}) WHERE abs(corr) >= 0.1""",
         "decile_lift": f"""{with_bars(PREP, SAMPLE)}, k AS (SELECT *, floor((row_number() OVER (ORDER BY range_position_63, point_id) - 1) * 10 / count(*) OVER ()) AS decile FROM pts WHERE range_position_63 IS NOT NULL AND fwd IS NOT NULL)
             SELECT CAST(decile AS INT) AS decile, round(avg(fwd), 6) AS mean, round(avg(CAST(fwd > 0 AS INT)), 6) AS hit_rate, count(*) AS n FROM k GROUP BY 1""",
         "decile_lift_by_date": f"""{with_bars(PREP, SAMPLE)}, k AS (SELECT *, count(*) OVER (PARTITION BY date) AS c FROM fm WHERE range_position_63 IS NOT NULL AND fwd IS NOT NULL),
