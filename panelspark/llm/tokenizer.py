@@ -18,7 +18,7 @@ import numpy as np
 _BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 _CUT = re.compile(rf" (?<![{_BLANK}] )")
 #: Pieces that a worker remembers, and the longest that it remembers at all.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 
 
 def vocabulary(name: str) -> str:
