@@ -24,7 +24,12 @@ def _lag(x: np.ndarray, k: int = 1) -> np.ndarray:
 
 
 def _mean(w: np.ndarray) -> np.ndarray:
-    return _div(np.nansum(w, 1), (~np.isnan(w)).sum(1))
+    whole = w.mean(1)
+    some = np.isnan(whole)
+    if some.any():
+        part = w[some]
+        whole[some] = _div(np.nansum(part, 1), (~np.isnan(part)).sum(1))
+    return whole
 
 
 def _top(w: np.ndarray) -> np.ndarray:
@@ -39,15 +44,21 @@ class Windows:
     """Windows that end at, or some bars before, the bars at the given places."""
 
     def __init__(self, at: np.ndarray, longest: int):
-        self.at, self.pad, self.padded = at, longest, {}
+        self.at, self.pad, self.padded, self.running, self.places = at, longest, {}, {}, {}
 
     def __call__(self, x: np.ndarray, n: int, lag: int = 0) -> np.ndarray:
         if id(x) not in self.padded:
             self.padded[id(x)] = x, np.concatenate([np.full(self.pad, np.nan), x])
-        return np.lib.stride_tricks.sliding_window_view(self.padded[id(x)][1], n)[self.at + self.pad - lag - n + 1]
+        if (n, lag) not in self.places:
+            self.places[n, lag] = (self.at + self.pad - lag - n + 1)[:, None] + np.arange(n)
+        return self.padded[id(x)][1].take(self.places[n, lag])
 
     def sums(self, x: np.ndarray, n: int, lag: int = 0) -> np.ndarray:
-        return np.nansum(self(x, n, lag), 1)
+        """A difference of two running sums, as windows.py takes it: exact for whole numbers."""
+        if id(x) not in self.running:
+            self.running[id(x)] = x, np.concatenate([[0.0], np.cumsum(np.where(np.isnan(x), 0.0, x))])
+        total = self.running[id(x)][1]
+        return total[np.maximum(self.at + 1 - lag, 0)] - total[np.maximum(self.at + 1 - lag - n, 0)]
 
     def full(self, x: np.ndarray, bars: int) -> np.ndarray:
         return np.where(self.at >= bars - 1, x, np.nan)
