@@ -5,8 +5,9 @@ the corpus), places them best-fit, longest first, in whole runs of equal sequenc
 the slot of its rank among the pieces of its length.
 
 Defined results: a null text packs as the empty text (its end token alone); a text of more than capacity tokens, however
-long, is cut into pieces, none dropped; repeated rows are each packed; rows with a null doc_id keep it; ties of rank go by
-doc_id, piece and content; other columns are ignored; an empty table gives an empty result.
+long, is cut into pieces of capacity tokens, none dropped, and only its first piece may be shorter; repeated rows are each
+packed; rows with a null doc_id keep it; ties of rank go by doc_id, piece and content; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int):
             found = tokenizer.ids(tokenizer_path, batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
+                # A remainder comes first: every piece after the first is full.
+                for piece, end in enumerate(range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)):
+                    start = max(end - capacity, 0)
+                    part = ids[start:end]
                     for column, value in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
                         column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

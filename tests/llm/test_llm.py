@@ -162,6 +162,24 @@ def test_packing_awkward(spark):
     assert packing.pack(empty(spark), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_only_the_first_piece_is_short(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = {k: " ".join(f"w{i}" for i in range(k)) for k in (0, 1, 2, 3, 4, 5, 8, 11, 30)} | {100: "a b c d e f g", 101: "a b c d e f g h", 102: "x" * 200}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = set()
+    for doc_id, text in texts.items():
+        ids = np.asarray([*t.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        ends = list(range(len(ids), 0, -8))[::-1]
+        for piece, end in enumerate(ends):
+            start = max(end - 8, 0)
+            want.add((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+    got = packing.pack(docs, vocabulary("byte_bpe_50k.json"), 0, 8).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert all(r["length"] == 8 for r in got if r["piece"])
+
+
 # 3 mixing
 
 
