@@ -16,7 +16,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +32,18 @@ BROADCAST_ROWS, RANKS = 200_000, 4_096
 
 
 def _pieces(tokenizer_path: str, end_id: int, capacity: int):
+    end = end_id.to_bytes(4, "little")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 256):
             out: tuple[list, ...] = ([], [], [], [], [])
-            found = tokenizer.ids(tokenizer_path, batch.column("text").to_pylist())
+            found = tokenizer.packed(tokenizer_path, batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                ids += end
                 # A remainder comes first: every piece after the first is full.
-                for piece, end in enumerate(range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)):
-                    start = max(end - capacity, 0)
-                    part = ids[start:end]
-                    for column, value in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                for piece, stop in enumerate(range((len(ids) // 4 - 1) % capacity + 1, len(ids) // 4 + 1, capacity)):
+                    start = max(stop - capacity, 0)
+                    for column, value in zip(out, (doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
                         column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

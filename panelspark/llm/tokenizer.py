@@ -2,14 +2,14 @@
 
 A byte-level vocabulary splits texts so that no token spans the place between a character that is not white space and the
 space after it. Texts are cut at those places, distinct pieces are encoded by the library once and remembered, and a text's
-ids are those of its pieces in a row: the library's own ids, special strings (which hold no space) included.
+ids are those of its pieces in a row: the library's own ids, special strings (which hold no space) included. New pieces of
+common characters are cut into words here, as the library would, and go to its model word by word.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +17,10 @@ import numpy as np
 #: Whatever some engine may take for white space; a space that follows one of these is no place to cut.
 _BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 _CUT = re.compile(rf" (?<![{_BLANK}] )")
+_IS_BLANK = re.compile(f"[{_BLANK}]").match
+#: Blocks of 256 code points whose texts are cut into words here (scripts that put spaces between words, and Hangul); others go
+#: to the library whole.
+_BLOCKS = {*range(0x30), *range(0xAC, 0xD8)}
 #: Pieces that a worker remembers, and the longest that it remembers at all.
 REMEMBERED, LONGEST = 600_000, 64
 
@@ -63,59 +67,146 @@ def whole_ids(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in _json(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class _Pieces:
-    """Packed ids of pieces that begin with a space (named without it), as far as remembered."""
+class _Words:
+    """Ids of short texts of common characters: cut into words as the file's pre-tokenizer cuts them, each given to the model.
+
+    What it takes for letters, numbers and blanks, and how it writes a character for the model, is asked of it, one by one, for
+    a block of characters when the first of them comes.
+    """
+
+    def __init__(self, path: str) -> None:
+        library = _json(path)
+        self.split, model = library.pre_tokenizer.pre_tokenize_str, library.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # words that come here are new: looking them up there costs more than it saves
+        self.tokenize = model.tokenize
+        self.blocks: set[int] = set()
+        self.kinds: dict[str, list[str]] = {"a": [], "1": [], "!": [], " ": []}
+        self.written: dict[int, str] = {}
+        self.learn({0})
+        self.space, self.packed = self.written[32], {x: x.to_bytes(4, "little") for x in library.get_vocab().values()}
+        self.marks = "".join(c for c in self.kinds["!"] if c.isascii())
+        self.special = re.compile("|".join(re.escape(t.content) for t in library.get_added_tokens_decoder().values()) or "(?!)").search
+        self.again = lru_cache(maxsize=1 << 14)(self.ids)
+
+    def learn(self, blocks: set[int]) -> None:
+        for c in (chr(x) for block in sorted(blocks) for x in range(block << 8, (block + 1) << 8)):
+            beside = {x: [word for word, _ in self.split(f"{x}{c}{x}")] for x in "a1!"}
+            self.kinds[next((x for x, words in beside.items() if len(words) == 1), " ")].append(c)
+            self.written[ord(c)] = "".join(beside["a"])[1:-1]
+        self.blocks |= blocks
+        letter, number, other, blank = ("".join(map(re.escape, x)) for x in self.kinds.values())
+        self.letters = re.compile(f"[{letter}]+").fullmatch
+        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[{other}]+|[{blank}]+(?![^{blank}])|[{blank}]+").findall
+        self.common = re.compile(rf"[{letter}{number}{other}{blank}]*").fullmatch
+
+    def know(self, text: str) -> bool:
+        if len(text) > LONGEST or self.special(text):
+            return False
+        if not text.isascii() and not self.common(text):
+            blocks = {ord(c) >> 8 for c in text} - self.blocks
+            if not blocks <= _BLOCKS:
+                return False
+            self.learn(blocks)
+        return True
+
+    def ids(self, word: str) -> bytes:
+        return b"".join([self.packed[x.id] for x in self.tokenize(word if word.isascii() and word.isalpha() else word.translate(self.written))])
+
+    def named(self, bare: str) -> bytes:
+        """Of a space and letters."""
+        return b"".join([self.packed[x.id] for x in self.tokenize(self.space + (bare if bare.isascii() else bare.translate(self.written)))])
+
+
+class _Uncut(Exception):
+    """A space follows a blank: the text may not be cut there."""
+
+
+class _Known(dict):
+    """Packed ids of pieces that begin with a space (named without it); those that it lacks are encoded when asked for.
+
+    Names not asked for between two turns are forgotten at the second, so what is frequent stays.
+    """
 
     def __init__(self, path: str) -> None:
-        self.path, self.known = path, {}
-
-    def pack(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x).tobytes() for x in whole_ids(self.path, texts)]
-
-    def of(self, texts: list[str]) -> tuple[list[bytes], list[list[str]], dict[str, bytes]]:
-        """For each text the ids of its first piece and the names of the pieces after it, and the ids of all these names."""
-        cut = [_CUT.split(t) for t in texts]
-        firsts = self.pack([c.pop(0) for c in cut])
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = [n for n in set().union(*cut) if n not in known]
-        if new:
-            found = dict(zip(new, self.pack([f" {n}" for n in new]), strict=True))
-            if any(len(n) > LONGEST for n in new):
-                known.update({n: x for n, x in found.items() if len(n) <= LONGEST})
-                return firsts, cut, _Both(found, known)
-            known.update(found)
-        return firsts, cut, known
-
-
-class _Both(dict):
-    """A batch's own pieces, then the remembered ones."""
-
-    def __init__(self, own: dict, known: dict) -> None:
-        super().__init__(own)
-        self.known = known
+        super().__init__()
+        self.path, self.words, self.old = path, _Words(path), {}
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, name: str) -> bytes:
-        return self.known[name]
+        found = self.old.get(name)
+        if not found:
+            if not name or _IS_BLANK(name[-1]):
+                raise _Uncut
+            found = self.encode(name)
+            if len(name) > LONGEST:
+                return found
+        self[name] = found
+        return found
+
+    def encode(self, name: str) -> bytes:
+        words = self.words
+        bare = name.rstrip(words.marks)
+        if words.letters(bare) and len(name) <= LONGEST and not words.special(name):
+            if len(bare) == len(name):
+                return words.named(bare)
+            return (self.get(bare) or self.old.get(bare) or words.named(bare)) + words.again(name[len(bare) :])
+        text = f" {name}"
+        if words.know(text):
+            return b"".join(map(words.again, words.cut(text)))
+        return _pack(self.path, [text])[0]
+
+    def row(self, cut: list[str]) -> bytes:
+        """Ids of a text's pieces. A name before the last that is empty or ends with a blank was no place to cut."""
+        first = b"".join(map(self.words.again, self.words.cut(cut[0]))) if self.words.know(cut[0]) else _pack(self.path, cut[:1])[0]
+        if len(cut) == 1:
+            return first
+        last = cut[-1]
+        return b"".join((first, *map(self.__getitem__, cut[1:-1]), self.get(last) or self.old.get(last) or self.encode(last)))
 
 
 @lru_cache(maxsize=4)
-def _pieces(path: str) -> _Pieces:
-    return _Pieces(path)
+def _known(path: str) -> _Known:
+    return _Known(path)
+
+
+def _pack(path: str, texts: list[str]) -> list[bytes]:
+    return [np.asarray(x, dtype="<u4").tobytes() for x in whole_ids(path, texts)]
+
+
+def _cut(text: str) -> list[str]:
+    """The text cut at its spaces, if it shows no double one and its first is a place to cut; else at places to cut alone."""
+    if "  " not in text:
+        cut = text.split(" ")
+        if len(cut) == 1 or not cut[0] or not _IS_BLANK(cut[0][-1]):
+            return cut
+    return _CUT.split(text)
+
+
+def packed(path: str, texts: list[str]) -> list[bytes]:
+    """Token ids of each text as little-endian unsigned 32-bit numbers, one after the other."""
+    if path.endswith(".model") or not may_cut(path):
+        return _pack(path, texts)
+    known = _known(path)
+    known.turn()
+    out = []
+    for text in texts:
+        try:
+            out.append(known.row(_cut(text)))
+        except _Uncut:
+            out.append(known.row(_CUT.split(text)))
+    return out
 
 
 def ids(path: str, texts: list[str]) -> list[np.ndarray]:
     """Token ids of each text as unsigned 32-bit numbers."""
-    if path.endswith(".model") or not may_cut(path):
-        return [np.asarray(x, dtype="<u4") for x in whole_ids(path, texts)]
-    firsts, cut, known = _pieces(path).of(texts)
-    return [np.frombuffer(f + b"".join(map(known.__getitem__, c)), dtype=np.uint32).astype("<u4") for f, c in zip(firsts, cut, strict=True)]
+    return [np.frombuffer(x, dtype="<u4") for x in packed(path, texts)]
 
 
 def counts(path: str, texts: list[str]) -> list[int]:
     """Tokens of each text."""
-    if path.endswith(".model") or not may_cut(path):
-        return [len(x) for x in whole_ids(path, texts)]
-    firsts, cut, known = _pieces(path).of(texts)
-    return [(len(f) + sum(map(len, map(known.__getitem__, c)))) // 4 for f, c in zip(firsts, cut, strict=True)]
+    return [len(x) // 4 for x in packed(path, texts)]

@@ -93,6 +93,25 @@ def test_pieces_give_the_ids_of_the_library():
         assert [x.tolist() for x in tokenizer.ids(path, some)] == want and tokenizer.counts(path, some) == [len(x) for x in want]
 
 
+def test_common_characters_are_cut_into_words_as_by_the_library():
+    path = vocabulary("byte_bpe_50k.json")
+    texts = [f"{c}a a{c}b 1{c} {c}{c}. '{c}s're{c} x'{c} .{c}\n {c}{c}a \n{c} a{c}.{c}, {c}" for c in map(chr, (*range(0x560), *range(0x560, 0xD7FF, 53), *range(0x2000, 0x2070)))]
+    assert [x.tolist() for x in tokenizer.ids(path, texts)] == tokenizer.whole_ids(path, texts)
+
+
+def test_new_words_go_to_the_model_and_frequent_ones_stay(monkeypatch):
+    path, library, whole = vocabulary("byte_bpe_50k.json"), tokenizer.whole_ids, []
+    batches = [[f"the Wört{k}, and über{k}x. the\nländ{'x' * k} isn't", f"the {k} and"] for k in range(40)]
+    want = [library(path, b) for b in batches]
+    tokenizer._known.cache_clear()
+    monkeypatch.setattr(tokenizer, "REMEMBERED", 8)
+    monkeypatch.setattr(tokenizer, "whole_ids", lambda p, texts: whole.extend(texts) or library(p, texts))
+    assert [[x.tolist() for x in tokenizer.ids(path, b)] for b in batches] == want
+    known = tokenizer._known(path)
+    assert not whole and len(known) + len(known.old) < 30 and "and" in {**known, **known.old}
+    tokenizer._known.cache_clear()
+
+
 # 2 packing
 
 
